@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, mixing
+from . import bpe, jaccard, langid, mixing, spans
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(spark, table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -35,6 +39,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_jaccard": op3_jaccard,
+    "op5_spans": op5_spans,
     "op7_mixing": op7_mixing,
     "op9_langid": op9_langid,
 }
