@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, mixing, spans
+from . import bpe, jaccard, langid, mixing, spans, warc
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(spark, table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_jaccard": op3_jaccard,
     "op5_spans": op5_spans,
+    "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op9_langid": op9_langid,
 }
