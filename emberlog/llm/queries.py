@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, mixing, spans, warc
+from . import bpe, jaccard, langid, mixing, spans, toxicity, warc
 from .common import table
 
 
@@ -21,6 +21,12 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score(spark, docs, toxicity.fit(spark, docs, labels))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
 
@@ -44,6 +50,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_jaccard": op3_jaccard,
+    "op4_toxicity": op4_toxicity,
     "op5_spans": op5_spans,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,

@@ -23,9 +23,11 @@ from .common import slices
 SAMPLE_ROWS, ROW_CHARS = 2_500, 20_000
 #: A word has a weight if so many sampled documents have it; at most so many words have one.
 WORD_DOCUMENTS, VOCABULARY = 8, 50_000
+#: Standard errors by which its share of toxic documents must exceed that of others.
+LIFT = 5.0
 #: Lengths of the beginnings of words that have weights too.
 BEGINNINGS = (4, 5, 6)
-EPOCHS, RATE, DECAY = 150, 0.1, 1e-5
+EPOCHS, RATE, DECAY = 200, 0.1, 1e-5
 CACHE_WORDS, CACHE_CHARS = 300_000, 64
 
 _ends = re.compile(r"(?<=[.!?。！？])\s+|\n+").split
@@ -48,11 +50,19 @@ def parts(word: str) -> list[str]:
 def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS) -> tuple[float, dict[str, float]]:
     """Bias and word weights that make the weighted noisy-or likelihood large (Adam, all rows a step)."""
     bags = [[set(letters(s.lower())) for s in sentences(t)] for t in texts]
-    counts: dict[str, int] = {}
-    for bag in bags:
-        for w in {f for w in set().union(*bag) for f in parts(w)} if bag else ():
-            counts[w] = counts.get(w, 0) + 1
-    ranked = sorted((w for w, n in counts.items() if n >= WORD_DOCUMENTS), key=lambda w: (-counts[w], w))[:VOCABULARY]
+    counts: dict[str, list[int]] = {}
+    for bag, y in zip(bags, toxic.tolist(), strict=True):
+        for f in {f for w in set().union(*bag) for f in parts(w)} if bag else ():
+            counts.setdefault(f, [0, 0])[y] += 1
+    # only what toxic documents have clearly more often can mark a sentence
+    many = {1: max(1, int(toxic.sum())), 0: max(1, int((1 - toxic).sum()))}
+
+    def lift(c: list[int]) -> float:
+        both = (c[0] + c[1]) / (many[0] + many[1])
+        return (c[1] / many[1] - c[0] / many[0]) / math.sqrt(max(both * (1 - both), 1e-12) * (1 / many[1] + 1 / many[0]))
+
+    lifts = {f: lift(c) for f, c in counts.items() if sum(c) >= WORD_DOCUMENTS}
+    ranked = sorted((f for f, z in lifts.items() if z >= LIFT), key=lambda f: (-lifts[f], f))[:VOCABULARY]
     index = {w: i for i, w in enumerate(ranked)}
     owner, item, row = [], [], []
     for d, bag in enumerate(bags):
