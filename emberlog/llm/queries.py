@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, mixing, spans, toxicity, warc
+from . import bpe, jaccard, langid, mixing, spans, tiff, toxicity, warc
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(tiff.encode_text(table(spark, sf_dir, "documents")))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(spark, table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_tiff": op2_tiff,
     "op3_jaccard": op3_jaccard,
     "op4_toxicity": op4_toxicity,
     "op5_spans": op5_spans,
