@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, mixing, spans, tiff, toxicity, warc
+from . import bpe, jaccard, langid, mixing, nndescent, spans, tiff, toxicity, warc
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_nndescent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.search(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(spark, docs)
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_spans": op5_spans,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
+    "op8_nndescent": op8_nndescent,
     "op9_langid": op9_langid,
 }
 
