@@ -1,4 +1,8 @@
 """All registered queries with the SQL that states the same result."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import detection
+
+_parts = (detection,)
+
+QUERIES: dict = {k: v for p in _parts for k, v in p.QUERIES.items()}
+ORACLE: dict = {k: v for p in _parts for k, v in p.ORACLE.items()}
