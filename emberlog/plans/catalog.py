@@ -1,8 +1,8 @@
 """All registered queries with the SQL that states the same result."""
 
-from . import detection
+from . import detection, reports
 
-_parts = (detection,)
+_parts = (detection, reports)
 
 QUERIES: dict = {k: v for p in _parts for k, v in p.QUERIES.items()}
 ORACLE: dict = {k: v for p in _parts for k, v in p.ORACLE.items()}
