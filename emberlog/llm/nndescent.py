@@ -22,7 +22,7 @@ NEIGHBOURS, REVERSE, ROUNDS, OFFERS = 32, 32, 6, 5
 #: Sorted orders for first neighbours, hyperplanes of each, nodes that are compared in a run of an order.
 ORDERS, PLANES, RUN = 6, 24, 256
 #: Search: nodes kept a query, nodes looked at in a hop, hops, starting nodes for all queries.
-BEAM, LOOKS, HOPS, PIVOTS = 48, 8, 3, 256
+BEAM, LOOKS, HOPS, PIVOTS = 160, 24, 8, 256
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -298,6 +298,7 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5,
         met = met.groupBy("q").agg(F.collect_list(F.struct("a", "near_half")).alias("m"))
         both = state.join(met, "q", "left").select("q", "half", "beam", F.col("m.a").alias("ids"), F.col("m.near_half").alias("vecs"))
         state = scratch.save(both.mapInArrow(hop, f"q long, half binary, beam {beam_type}"), f"beam-{h}")
+        scratch.release()
         if not state.filter(F.exists("beam", lambda b: ~b["seen"])).limit(1).count():
             break
 
