@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import replaced, slices
 
 #: Words that a worker remembers; the older half goes when it is full.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 #: Longer chunks are encoded but not remembered.
 CACHE_CHARS = 64
 #: Words of more symbols are merged with a heap.

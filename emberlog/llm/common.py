@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch are handled in slices of about so many bytes of text.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 
 class Scratch:

@@ -25,7 +25,9 @@ SAMPLE_ROWS, ROW_CHARS, LANGUAGE_CHARS, ALL_CHARS = 200, 4_000, 40_000, 400_000
 UNKNOWN = "und"
 #: Texts that need more pieces than they have letters are in no known language.
 REJECT_RATE = 1.0
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 200_000, 64
+#: New words that are parsed side by side.
+SIDE_BY_SIDE = 40_000
 #: Columns of the table of states; the most frequent letters have one each.
 LETTERS = 64
 
@@ -188,7 +190,7 @@ class Parser:
             self.rows = self.rows[:1]
             new = list(missing)
         at = len(self.rows)
-        self.rows = np.concatenate([self.rows, self._count(new)])
+        self.rows = np.concatenate([self.rows, *(self._count(new[i : i + SIDE_BY_SIDE]) for i in range(0, len(new), SIDE_BY_SIDE))])
         known.update(zip(new, range(at, len(self.rows)), strict=True))
         out = np.zeros((len(texts), len(self.names) + 1), np.int64)
         for i, chunks in enumerate(cut):
