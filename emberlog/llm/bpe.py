@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import replaced, slices
+from .common import held, replaced, slices
 
 #: Words that a worker remembers; the older half goes when it is full.
 CACHE_WORDS = 400_000
@@ -258,14 +258,9 @@ class Codec:
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """One codec a worker and file."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return held(("bpe", path), lambda: Codec(path))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -46,6 +46,21 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make):
+    """What ``make`` gives, kept by a worker until it is asked for something else.
+
+    Workers serve one operator after another; only the last one's tables stay in memory.
+    """
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import held, slices
 
 #: Bounds of the labelled sample: rows a language, characters of a row, characters of a language and of all.
 SAMPLE_ROWS, ROW_CHARS, LANGUAGE_CHARS, ALL_CHARS = 200, 4_000, 40_000, 400_000
@@ -210,9 +210,6 @@ class Parser:
         return out
 
 
-_parsers: dict[int, Parser] = {}
-
-
 def identify(
     spark: SparkSession,
     docs: DataFrame,
@@ -238,10 +235,7 @@ def identify(
     kept = [f for f in source.schema if f.name not in added and (keep or f.name == key)]
 
     def run(batches):
-        if ident not in _parsers:
-            _parsers.clear()
-            _parsers[ident] = Parser(shared.value)
-        parser = _parsers[ident]
+        parser = held(("langid", ident), lambda: Parser(shared.value))
         for batch in slices(batches, text):
             found = parser.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]

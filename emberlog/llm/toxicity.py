@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import held, slices
 
 #: Bounds of the labelled sample: rows of each label, and characters of a row.
 SAMPLE_ROWS, ROW_CHARS = 2_500, 20_000
@@ -152,9 +152,6 @@ class Scorer:
         return 1 - math.exp(-total), worst
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score(spark: SparkSession, docs: DataFrame, model: tuple[float, dict[str, float]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Score every whole text: key, score (0 to 1), predicted (score >= 0.5) and offending.
 
@@ -167,10 +164,7 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple[float, dict[str, fl
     kind = pa.list_(pa.struct([("sentence", pa.int32()), ("probability", pa.float64())]))
 
     def run(batches):
-        if ident not in _scorers:
-            _scorers.clear()
-            _scorers[ident] = Scorer(shared.value)
-        scorer = _scorers[ident]
+        scorer = held(("toxicity", ident), lambda: Scorer(shared.value))
         for batch in slices(batches, text):
             found = [scorer.score(t) for t in batch.column(1).to_pylist()]
             worst = [[{"sentence": i, "probability": p} for i, p in w] for _, w in found]
