@@ -1,7 +1,7 @@
 """Removal of repeated passages by sliding spans of sentences.
 
-From every sentence on, and up to every sentence, the shortest run of several sentences
-with enough words is hashed.  A run that a document of a smaller id has too, or that the
+Every run of two sentences that is not tiny and every run of three sentences is hashed;
+longer runs are made of these.  A run that a document of a smaller id has too, or that the
 document itself has had before, is a repeat, and the sentences it covers go.
 """
 
@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 
 from .common import Scratch, slices
 
-#: A run has at least so many sentences and words.
-SENTENCES, WORDS = 2, 20
+#: A run has at least so many sentences and words; one sentence more, and any words will do.
+SENTENCES, WORDS = 2, 10
+#: Letters of scripts that put no space between words; two of them count as a word.
+_unspaced = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]").findall
 _ends = re.compile(r"[.!?]+[\"')\]]*\s+|[。！？]+\s*|\n\s*").finditer
 _MASK, _PRIME = (1 << 64) - 1, 0x9E3779B97F4A7C15
 LAST_ID = (1 << 63) - 1
@@ -35,49 +37,39 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+def size(words: list[str]) -> int:
+    """Number of words, with words counted by letters where no spaces part them."""
+    n = len(words)
+    for w in words:
+        if not w.isascii() and (found := len(_unspaced(w))) > 1:
+            n += found // 2 - (found == len(w))
+    return n
+
+
 def runs(pieces: list[str], least: int = SENTENCES, words: int = WORDS) -> dict[tuple[int, int], int]:
     """Hash of each run (first, after its last), in order of its first sentence.
 
-    Sentences count as equal when their words are, apart from case.  Pieces without a word
-    belong to runs but are not counted as sentences.
+    Runs have ``least`` sentences and ``words`` words or more, or one sentence more than
+    that.  Of the latter those are left out that two of the former make up, as both
+    repeat where it does.  Sentences count as equal when their words are, apart from case.
+    Pieces without a word belong to runs but are not counted as sentences.
     """
-    cut = [p.lower().split() for p in pieces]
-    sizes = [len(c) for c in cut]
-    names = [xxhash.xxh3_64_intdigest(" ".join(c).encode("utf-8", "surrogatepass")) if c else 0 for c in cut]
-    found, n = set(), len(cut)
-    # two ends move over the sentences; the run between them is always the shortest
-    to = held = count = 0
-    for at in range(n):
-        while to < n and (held < words or count < least):
-            held += sizes[to]
-            count += sizes[to] > 0
-            to += 1
-        if held < words or count < least:
-            break
-        if sizes[at]:
-            found.add((at, to))
-        held -= sizes[at]
-        count -= sizes[at] > 0
-    at = n
-    held = count = 0
-    for to in range(n, 0, -1):
-        while at > 0 and (held < words or count < least):
-            at -= 1
-            held += sizes[at]
-            count += sizes[at] > 0
-        if held < words or count < least:
-            break
-        if sizes[to - 1]:
-            found.add((at, to))
-        held -= sizes[to - 1]
-        count -= sizes[to - 1] > 0
+    places, names, sizes = [], [], []
+    for i, p in enumerate(pieces):
+        if cut := p.lower().split():
+            places.append(i)
+            names.append(xxhash.xxh3_64_intdigest(" ".join(cut).encode("utf-8", "surrogatepass")))
+            sizes.append(size(cut))
+    large = [sum(sizes[i : i + least]) >= words for i in range(len(places) - least + 1)]
     out = {}
-    for at, to in sorted(found):
+    for i, whole in enumerate(large):
         h = 0
-        for x in names[at:to]:
-            if x:
-                h = ((h ^ x) * _PRIME + (h >> 29)) & _MASK
-        out[at, to] = h
+        for x in names[i : i + least]:
+            h = ((h ^ x) * _PRIME + (h >> 29)) & _MASK
+        if whole:
+            out[places[i], places[i + least - 1] + 1] = h
+        if i + 1 < len(large) and not (whole and large[i + 1]):
+            out[places[i], places[i + least] + 1] = ((h ^ names[i + least]) * _PRIME + (h >> 29)) & _MASK
     return out
 
 
@@ -98,8 +90,8 @@ def dedup(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
 
     Returns all columns of ``docs`` with the text cut, and n_sentences and n_removed (of
     the same names in ``docs`` nothing is left).  A text without repeats is unchanged to
-    the byte; nulls stay null and have no sentences; a text with too few sentences or
-    words for a run is never cut.  The smallest key has a passage first; rows that repeat
+    the byte; nulls stay null and have no sentences; a text with too few sentences
+    or words for a run is never cut.  The smallest key has a passage first; rows that repeat
     a key count as one document, rows with a null key as one that comes last.
     """
     scratch = scratch or Scratch(spark, "spans")

@@ -196,6 +196,21 @@ def test_spans(spark):
     assert spans.dedup(spark, documents(spark, [])).count() == 0
 
 
+def test_spans_of_short_sentences(spark):
+    passage = "Eashly berr. Thhesh on inthou hehaor. Ndst. Edan the. "
+    unspaced = "今日は天気がとても良いです。明日は雨が降ると聞きました。"
+    texts = [f"First of all this. {passage}And the end.", f"Another start here now, {passage}One more end.", f"起{unspaced}", f"別の文が前にあります。{unspaced}終わり。", "Hi. No.", "Hi. No. Yes we can.", "One line of five words. And now a second one of it.", "One line of five words. And now a second one of it."]
+    got = {r.doc_id: (r.text, r.n_removed) for r in spans.dedup(spark, documents(spark, texts)).collect()}
+    assert got[1] == ("Another start here now, Eashly berr. One more end.", 3)
+    # the first sentence is glued to another, and one sentence is no run
+    assert got[3] == (texts[3], 0)
+    assert got[7] == ("", 2)
+    assert all(got[i] == (texts[i], 0) for i in (0, 2, 4, 5, 6))
+    both = [f"別の文が前にあります。{unspaced}", f"{unspaced}終わり。"]
+    assert [r.text for r in spans.dedup(spark, documents(spark, both)).orderBy("doc_id").collect()] == [both[0], "終わり。"]
+    assert spans.size("a bc 漢字 漢字かな x漢字 é".split()) == 8
+
+
 def test_warc(spark, tmp_path):
     pages = [(i, f"http://x/{i}", h) for i, h in enumerate(["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "<p>" + "z" * 30000, "<p>a</p>"])] + [(None, None, "<p>a</p>"), (9, None, "q"), (9, None, "q")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
