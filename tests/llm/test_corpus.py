@@ -123,6 +123,24 @@ def test_jaccard_equals_brute_force(spark, seed):
     assert kept.count() == len({c for _, c in got.values()})
 
 
+def test_jaccard_null_and_repeated_ids(spark):
+    rng = random.Random(14)
+    a, b, c, d, e, f = (words(rng, 60, 10**6) for _ in range(6))
+    near = lambda w: " ".join([*w[:-1], "end"])
+    a_, b_, c_, d_, e_, f_ = (" ".join(w) for w in (a, b, c, d, e, f))
+    # near copies with null ids alone; clean null ids; one id with texts of three kinds, one of them twice; a near copy of the larger kind
+    rows = [(None, a_), (None, near(a)), (None, b_), (None, c_), (None, None), (None, ""), (7, d_), (7, e_), (7, f_), (7, f_), (7, None), (7, None), (9, near(e)), (10, near(d).upper()), (None, near(f))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = jaccard.link(spark, docs).collect()
+    assert len(linked) == len(rows)
+    assert sorted((r.doc_id, r.component_id) for r in linked if r.doc_id in (9, 10)) == [(9, 7), (10, 7)]
+    assert len({r.first_code for r in linked if r.n_shingles}) == 6
+    assert sorted(str(r.component_id) for r in linked if r.doc_id is None) == sorted(["None"] * 6 + ["7"])
+    got = sorted(((r.doc_id, r.text) for r in jaccard.keep_first(docs, jaccard.link(spark, docs)).collect()), key=str)
+    assert len(got) == 10 and len([r for r in got if r[0] is None and r[1] in (a_, near(a))]) == 1
+    assert sorted([r for r in got if r[1] not in (a_, near(a))], key=str) == sorted([(None, b_), (None, c_), (None, None), (None, ""), (7, d_), (7, e_), (7, f_), (7, None), (7, None)], key=str)
+
+
 def test_jaccard_empty(spark):
     assert jaccard.link(spark, documents(spark, [])).count() == 0
 
