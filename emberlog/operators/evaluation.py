@@ -1,4 +1,4 @@
-"""Labels, model metrics, drift and leakage groups."""
+"""Label conflicts, model metrics, drift and ordered cuts."""
 
 from __future__ import annotations
 
