@@ -10,6 +10,9 @@ best that it has not looked at.
 
 from __future__ import annotations
 
+import math
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,12 +20,17 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Neighbours of a node, sampled reverse neighbours, rounds, candidates a node gets from one meeting.
-NEIGHBOURS, REVERSE, ROUNDS, OFFERS = 32, 32, 6, 5
+#: Neighbours of a node, sampled reverse neighbours, candidates a node gets from one meeting.
+NEIGHBOURS, REVERSE, OFFERS = 32, 32, 5
 #: Sorted orders for first neighbours, hyperplanes of each, nodes that are compared in a run of an order.
 ORDERS, PLANES, RUN = 6, 24, 256
-#: Search: nodes kept a query, nodes looked at in a hop, hops, starting nodes for all queries.
-BEAM, LOOKS, HOPS, PIVOTS = 160, 24, 8, 256
+#: Search: nodes kept a query, nodes looked at in a hop, starting nodes for all queries.  Of
+#: more nodes than GROWN beam and pivots grow with the logarithm of their number.
+BEAM, LOOKS, PIVOTS, GROWN = 160, 24, 256, 50_000
+
+
+def grown(least: int, n: int) -> int:
+    return math.ceil(least * max(1.0, math.log(max(n, 2)) / math.log(GROWN)))
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -211,7 +219,7 @@ def build(spark: SparkSession, scratch: Scratch, small: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = scratch.save(_keep(first_edges(small, parts)), "edges-0")
     before = 0.0
-    for k in range(1, ROUNDS + 1):
+    for k in count(1):  # edges only get better, so this ends
         worst = edges.groupBy("node").agg(F.min("sim").alias("low"), F.count("*").alias("n"))
         known = small.join(worst, "node", "left").select(F.col("node").alias("a"), "half", F.when(F.col("n") >= NEIGHBOURS, F.col("low")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
         own = small.select(F.col("node").alias("v"), F.col("node").alias("a"))
@@ -221,7 +229,7 @@ def build(spark: SparkSession, scratch: Scratch, small: DataFrame) -> DataFrame:
         scratch.drop(f"edges-{k - 1}")
         scratch.release()
         now = edges.agg(F.sum("sim")).first()[0] or 0.0
-        if now - before < 0.001 * abs(now):
+        if now - before <= 0.001 * abs(now):
             break
         before = now
     return edges
@@ -252,7 +260,9 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5,
 
     asked = rows.filter(F.col("vec_id") % every == 0).distinct().mapInArrow(own, "query_id long, vec binary")
     asked = scratch.save(asked.withColumn("node", F.xxhash64("vec")).withColumn("q", F.xxhash64("query_id", "vec")), "asked")
-    pivots = small.orderBy(F.xxhash64("node", F.lit(3))).limit(PIVOTS).collect()  # PIVOTS rows
+    n = small.count()
+    beam_size, n_pivots = grown(BEAM, n), grown(PIVOTS, n)
+    pivots = small.orderBy(F.xxhash64("node", F.lit(3))).limit(n_pivots).collect()  # a few hundred rows
     if not pivots:
         return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     shared = spark.sparkContext.broadcast((np.array([p["node"] for p in pivots]), [bytes(p["half"]) for p in pivots]))
@@ -286,18 +296,21 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5,
                 if fresh:
                     sims = _uncoded([vecs[i] for i in fresh]) @ _uncoded([half])[0]
                     new |= {found[i]: (float(s), False) for i, s in zip(fresh, sims, strict=True)}
-                kept = sorted(new.items(), key=lambda x: (-x[1][0], x[0]))[:BEAM]
+                kept = sorted(new.items(), key=lambda x: (-x[1][0], x[0]))[:beam_size]
                 out.append([{"node": n, "sim": s, "seen": seen} for n, (s, seen) in kept])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _beam)], names=["q", "half", "beam"])
 
     halves = small.select(F.col("node").alias("a"), F.col("half").alias("near_half"))
-    for h in range(1, HOPS + 1):
+    # what leaves a beam is worse than all that stays and never comes back, so each hop looks
+    # at new nodes, and this ends when every node of every beam has been looked at
+    for h in count(1):
         looks = F.slice(F.array_sort(F.filter("beam", lambda b: ~b["seen"]), lambda x, y: F.when(x["sim"] > y["sim"], -1).when(x["sim"] < y["sim"], 1).when(x["node"] < y["node"], -1).when(x["node"] > y["node"], 1).otherwise(0)), 1, LOOKS)
         wanted = state.select("q", F.explode(looks).alias("b")).select("q", F.col("b.node").alias("v"))
         met = wanted.join(graph, "v").select("q", F.explode("near").alias("a")).distinct().join(halves, "a")
         met = met.groupBy("q").agg(F.collect_list(F.struct("a", "near_half")).alias("m"))
         both = state.join(met, "q", "left").select("q", "half", "beam", F.col("m.a").alias("ids"), F.col("m.near_half").alias("vecs"))
         state = scratch.save(both.mapInArrow(hop, f"q long, half binary, beam {beam_type}"), f"beam-{h}")
+        scratch.drop(f"beam-{h - 1}")
         scratch.release()
         if not state.filter(F.exists("beam", lambda b: ~b["seen"])).limit(1).count():
             break

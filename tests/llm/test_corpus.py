@@ -310,6 +310,21 @@ def test_neighbours_recall(spark):
     assert nndescent.search(spark, df.limit(0)).count() == 0
 
 
+def test_neighbours_search_goes_on(spark, monkeypatch):
+    # hops of two nodes: a beam of 18 takes 9 hops at least
+    monkeypatch.setattr(nndescent, "LOOKS", 2)
+    monkeypatch.setattr(nndescent, "BEAM", 18)
+    kept = []
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: kept.append((name, save(self, df, name))) or kept[-1][1])
+    m = np.random.default_rng(15).standard_normal((120, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    assert nndescent.search(spark, df).count() == 15
+    last = [d for name, d in kept if name.startswith("beam-")][-1]
+    assert {b["seen"] for r in last.collect() for b in r.beam} == {True}
+    assert nndescent.grown(160, 1000) == nndescent.grown(160, 50_000) == 160 < nndescent.grown(160, 10**6)
+
+
 def test_language(spark):
     rng = random.Random(10)
     parts = {"aa": ["ka", "to", "mi", "re"], "bb": ["schu", "ver", "tz", "ung"], "cc": ["eau", "oi", "ent", "que"]}
