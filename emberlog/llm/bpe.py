@@ -272,7 +272,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
     def run(batches):
         bpe = codec(path)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, tables=True):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             coded = bpe.encode(texts)
             ends = np.cumsum([0] + [len(b) // 4 for b in coded]).astype(np.int32)
@@ -288,7 +288,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
     def run(batches):
         bpe = codec(path)
-        for batch in slices(batches, ids):
+        for batch in slices(batches, ids, tables=True):
             rows = batch.column(batch.schema.get_field_index(ids)).to_pylist()
             out = pa.array([bpe.decode(np.array(r or [], "<u4").tobytes()) for r in rows], pa.string())
             yield replaced(batch, [], {text: out})
@@ -306,7 +306,7 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
 
     def run(batches):
         bpe = codec(path)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, tables=True):
             coded = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -17,16 +18,17 @@ class Scratch:
     """Written tables in the folder that the cluster names in ``spark.checkpoint.dir``.
 
     A table cuts the lineage, survives the loss of any executor and keeps column
-    pruning.  Where the setting is absent (tests), a folder of the driver's machine is
-    used, as driver and executors are then one process.
+    pruning.  Where the setting is absent, a folder of this machine is used in local mode
+    only, as driver and executors are then one process; on a cluster that is an error.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = tempfile.gettempdir() + "/emberlog-checkpoints"
-            spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -55,18 +57,32 @@ def held(key: tuple, make):
     Workers serve one operator after another; only the last one's tables stay in memory.
     """
     if key not in _held:
-        _held.clear()
-        gc.collect()
+        let_go()
         _held[key] = make()
     return _held[key]
 
 
+def let_go() -> None:
+    """Drop what a worker holds for another operator, and give the memory back to the system."""
+    if _held:
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches, column: str):
-    """Cut record batches so that ``column`` holds about SLICE_BYTES in each piece."""
+def slices(batches, column: str, tables: bool = False):
+    """Cut record batches so that ``column`` holds about SLICE_BYTES in each piece.
+
+    Tasks that use no tables of ``held`` first drop those of the operator before.
+    """
+    if not tables:
+        let_go()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -165,7 +165,7 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple[float, dict[str, fl
 
     def run(batches):
         scorer = held(("toxicity", ident), lambda: Scorer(shared.value))
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, tables=True):
             found = [scorer.score(t) for t in batch.column(1).to_pylist()]
             worst = [[{"sentence": i, "probability": p} for i, p in w] for _, w in found]
             points = np.array([s for s, _ in found])
