@@ -1,16 +1,22 @@
 """Language identification by cross-parsing with suffix automata.
 
 For each language a suffix automaton holds bounded labelled text.  A text is parsed from
-the left into the longest pieces that occur somewhere in that labelled text; the fewer
-pieces a letter, the closer the language (the cross-parsing estimate of relative
-entropy).  Pieces end at white space, so words are parsed once and remembered.
+its first letter to its last into the longest pieces that occur somewhere in that labelled
+text; the fewer pieces a letter, the closer the language (the cross-parsing estimate of
+relative entropy).  Pieces run on over the ends of words.
+
+Before that, texts are lower-cased and all between letters is one space.  The most
+frequent letters of the labelled text keep a symbol of their own, others have that of
+their block of the code table.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-import re
+import unicodedata
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -20,27 +26,34 @@ from pyspark.sql import types as T
 
 from .common import held, slices
 
-#: Bounds of the labelled sample: rows a language, characters of a row, characters of a language and of all.
-SAMPLE_ROWS, ROW_CHARS, LANGUAGE_CHARS, ALL_CHARS = 200, 4_000, 40_000, 400_000
+#: Bounds of the labelled sample: rows a language, characters of a language and of all, languages.
+SAMPLE_ROWS, LANGUAGE_CHARS, ALL_CHARS, LANGUAGES = 400, 40_000, 400_000, 1000
 UNKNOWN = "und"
 #: Texts that need more pieces than they have letters are in no known language.
 REJECT_RATE = 1.0
-CACHE_WORDS, CACHE_CHARS = 200_000, 64
-#: New words that are parsed side by side.
-SIDE_BY_SIDE = 40_000
-#: Columns of the table of states; the most frequent letters have one each.
-LETTERS = 64
-
-letters = re.compile(r"[^\W\d_]+").findall
+#: Symbols: the space, letters of their own, and blocks of other letters.
+SYMBOLS, OWN = 64, 48
+#: Longer texts are parsed in stretches side by side; stretches overlap by so many symbols.
+STRETCH, OVERLAP = 2048, 256
+#: States that step side by side.
+WIDE = 1 << 15
 
 
 def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def automaton(text: str) -> list[dict[str, int]]:
+@functools.cache
+def _letters() -> np.ndarray:
+    """For each code point the symbol of its block, or 0 if it is no letter (category L)."""
+    points = np.arange(0x110000)
+    is_letter = np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), bool, 0x110000)
+    return np.where(is_letter, OWN + (points >> 7) % (SYMBOLS - OWN), 0).astype(np.uint8)
+
+
+def automaton(text: Iterable) -> list[dict]:
     """Transitions of the suffix automaton of ``text``; from state 0 they spell its substrings."""
-    moves: list[dict[str, int]] = [{}]
+    moves: list[dict] = [{}]
     length, link, last = [0], [-1], 0
     for c in text:
         new = len(moves)
@@ -68,143 +81,158 @@ def automaton(text: str) -> list[dict[str, int]]:
     return moves
 
 
-def pieces(moves: list[dict[str, int]], text: str) -> int:
-    """Number of longest matches that ``text`` falls into; an unknown letter is one."""
-    root, state, n = moves[0], moves[0], 0
-    for c in text:
-        to = state.get(c)
-        if to is None or state is root:
-            n += 1
-            to = root.get(c, 0)
-        state = moves[to]
-    return n
-
-
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, str]:
-    """Labelled text by language from rows that are not held out, of bounded size.
+    """Labelled text by language, of bounded size, from rows that are not held out.
 
-    The rows of a language are those of the smallest hashes of the key, about SAMPLE_ROWS
-    of them; the driver gets these rows only.
+    Of each language about SAMPLE_ROWS rows are drawn by a hash of key and text, and of
+    each its first characters, LANGUAGE_CHARS in all (fewer if ALL_CHARS are shared by more
+    than ten languages).  Of more than LANGUAGES labels those of most rows are learned.
+    Rows with a null or empty text or a null label are left out; equal rows count once;
+    the order of rows does not matter; without rows nothing is learned.
     """
-    known = docs.filter(F.col(lang).isNotNull() & ~held_out(F.col(key)))
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    rows = rows.filter(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("key")))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return {}
-    rate = F.lit(0.0)
-    for name, n in counts.items():
-        rate = F.when(F.col(lang) == name, F.lit(min(1.0, SAMPLE_ROWS / n))).otherwise(rate)
-    draw = F.pmod(F.xxhash64(F.lit(9), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = known.filter(draw < rate).select(lang, key, F.substring(text, 1, ROW_CHARS)).collect()
     limit = min(LANGUAGE_CHARS, ALL_CHARS // len(counts))
+    plan = [(r["lang"], min(1.0, SAMPLE_ROWS / r["count"]), 2 * limit // min(SAMPLE_ROWS, r["count"]) + 1) for r in counts]
+    plan = docs.sparkSession.createDataFrame(plan, "lang string, rate double, chars int")
+    draw = F.pmod(F.xxhash64(F.lit(9), "key", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = rows.join(F.broadcast(plan), "lang").withColumn("draw", draw).filter("draw < rate")
+    # equal rows have equal draws: one of them is sent to the driver
+    drawn = drawn.groupBy("lang", "draw").agg(F.min(F.expr("substring(text, 1, chars)")).alias("part")).collect()
     out: dict[str, str] = {}
-    for name, _, part in sorted(rows, key=lambda r: (r[0], str(r[1]))):
-        if part and len(out.get(name, "")) < limit:
-            out[name] = (out.get(name, "") + " " + " ".join(letters(part.lower())) + " ")[:limit]
-    return {k: v for k, v in sorted(out.items()) if v.strip()}
+    for r in sorted(drawn, key=lambda r: (r["lang"], r["draw"])):
+        out[r["lang"]] = (out.get(r["lang"], "") + "\n" + r["part"])[:limit]
+    return out
 
 
 class Parser:
-    """Counts the pieces of words in each language and remembers them.
+    """Counts the pieces of texts in each language.
 
-    New words are parsed together: the automata are one table of states by letters, and
-    all words step through it side by side.  Letters beyond the most frequent ones of the
-    samples have no column; words with them are parsed one by one.
+    The automata are one table of states by symbols.  An entry holds the next state, when
+    need be that after a restart at the root, and a bit that tells whether a piece begins.
+    Many texts, in all languages, step through the table side by side.
     """
 
     def __init__(self, samples: dict[str, str]):
-        self.names = list(samples)
-        common = [c for c, _ in Counter("".join(samples.values())).most_common(LETTERS - 2)]
-        self.rare = set("".join(samples.values())).difference(common)
-        self.code = {c: i for i, c in enumerate(common, 2)}  # 0: past the end, 1: in no sample
-        self.codes = np.ones(0x110000, np.uint8)
-        for c, i in self.code.items():
+        self.codes = _letters().copy()
+        common = Counter(c for text in samples.values() for c in text.lower() if self.codes[ord(c)])
+        for i, (c, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[: OWN - 1], 1):
             self.codes[ord(c)] = i
-        tables, self.roots, self.moves, at = [], [], [], 0
-        for text in samples.values():
-            moves = automaton(text)
-            grid = np.full((len(moves), LETTERS), -1, np.int32)
+        flat, starts, sizes, letters = self.symbols(list(samples.values()))
+        learnt = [i for i in range(len(samples)) if letters[i]]
+        self.names = [list(samples)[i] for i in learnt]
+        tables, roots, at = [], [], 0
+        for i in learnt:
+            moves = automaton(flat[starts[i] : starts[i] + sizes[i]].tolist())
+            grid = np.full((len(moves), SYMBOLS), -1, np.int32)
             for state, to in enumerate(moves):
-                for c, t in to.items():
-                    if c in self.code:
-                        grid[state, self.code[c]] = t + at
-            self.moves.append(moves if self.rare else None)
-            self.roots.append(at)
+                grid[state, list(to)] = list(to.values())
+            begins = grid < 0
+            begins[0] = True
+            again = np.maximum(grid[0], 0)
+            tables.append((np.where(grid < 0, again, grid) + at) * (2 * SYMBOLS) + begins)
+            roots.append(at * SYMBOLS)
             at += len(moves)
-            tables.append(grid)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((1, len(self.names) + 1), np.int64)
-
-    def _count(self, chunks: list[str]) -> np.ndarray:
-        """For each chunk: its letters, then its pieces by language."""
-        out = np.zeros((len(chunks), len(self.names) + 1), np.int64)
-        spaced = [" ".join(["", *letters(c.lower()), ""]) for c in chunks]
-        out[:, 0] = [len(w) - w.count(" ") for w in spaced]
-        slow = [i for i, w in enumerate(spaced) if len(w) > CACHE_CHARS or self.rare and not self.rare.isdisjoint(w)]
-        by_size = sorted(set(range(len(spaced))).difference(slow), key=lambda i: -len(spaced[i]))
-        by_size = by_size[: sum(out[i, 0] > 0 for i in by_size)]
-        if by_size:
-            width = len(spaced[by_size[0]])
-            sizes = np.array([len(spaced[i]) for i in by_size])
-            flat = np.frombuffer("".join([spaced[i] for i in by_size]).encode("utf-32-le", "surrogatepass"), np.uint32)
-            grid = np.zeros((width, len(by_size)), np.int32)
-            grid[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(np.arange(len(sizes)), sizes)] = self.codes[flat]
-            live = (grid > 0).sum(axis=1)
-            for k, root in enumerate(self.roots, 1):
-                state, n = np.full(len(by_size), root, np.int32), np.zeros(len(by_size), np.int64)
-                for codes, m in zip(grid, live, strict=True):
-                    now, codes = state[:m], codes[:m]
-                    to = self.table[now.astype(np.int64) * LETTERS + codes]
-                    new = (to < 0) | (now == root)
-                    n[:m] += new
-                    again = self.table[root * LETTERS + codes]
-                    state[:m] = np.where(new, np.where(again < 0, root, again), to)
-                out[by_size, k] = n
-        for i in slow:
-            for k in range(1, len(self.names) + 1):
-                out[i, k] = self._one(k - 1, spaced[i]) if out[i, 0] else 0
-        return out
+        self.table = np.concatenate(tables).ravel().astype(np.int32) if tables else np.zeros(0, np.int32)
+        self.roots = np.array(roots, np.int32)
 
-    def _one(self, k: int, text: str) -> int:
-        if self.moves[k] is not None:
-            return pieces(self.moves[k], text)
-        get, table, root, n = self.code.get, self.table, self.roots[k], 0
-        state = root
-        for c in text:
-            to = table[state * LETTERS + get(c, 1)]
-            if to < 0 or state == root:
-                n += 1
-                to = max(root, table[root * LETTERS + get(c, 1)])
-            state = int(to)
-        return n
-
-    def counts(self, texts: list[str]) -> np.ndarray:
-        """For each text: letters, then pieces by language."""
-        cut, known = [t.split() for t in texts], self.known
-        missing: set[str] = set()
-        for chunks in cut:
-            missing.update(chunks)
-        new = [c for c in missing if c not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            self.rows = self.rows[:1]
-            new = list(missing)
-        at = len(self.rows)
-        self.rows = np.concatenate([self.rows, *(self._count(new[i : i + SIDE_BY_SIDE]) for i in range(0, len(new), SIDE_BY_SIDE))])
-        known.update(zip(new, range(at, len(self.rows)), strict=True))
-        out = np.zeros((len(texts), len(self.names) + 1), np.int64)
-        for i, chunks in enumerate(cut):
-            out[i] = self.rows[np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))].sum(axis=0)
-        return out
+    def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all texts in one array, and for each its first place, length and letters.
+
+        A text begins with the space that ends the text before it.
+        """
+        cut = "".join(["\n" + t.lower() for t in texts]) + "\n"
+        codes = self.codes[np.frombuffer(cut.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        bounds = np.cumsum([0] + [len(t.lower()) + 1 for t in texts])
+        found = codes > 0
+        kept = found.copy()
+        kept[1:] |= found[:-1]  # a word and the first of what is between it and the next
+        places = np.concatenate([[0], np.cumsum(kept)])
+        flat = np.concatenate([np.zeros(1, np.uint8), codes[kept]])
+        starts = places[bounds[:-1] + 1]
+        sizes = places[bounds[1:] + 1] - starts + 1
+        seen = np.concatenate([[0], np.cumsum(found)])
+        return flat, starts, sizes, seen[bounds[1:]] - seen[bounds[:-1]]
+
+    def _walk(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, edges: bool = False):
+        """Pieces by row and language; with ``edges`` those in the row's first STRETCH symbols, and where pieces begin in its first and last OVERLAP symbols."""
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes, n = starts[order], sizes[order], len(starts)
+        state = np.repeat(self.roots[:, None], n, axis=1)
+        count = np.zeros(state.shape, np.int32)
+        zones = np.zeros((2, len(self.roots), n, OVERLAP), bool) if edges else None
+        live = n - np.searchsorted(sizes[::-1], np.arange(sizes[0] if n else 0), side="right")
+        for j, m in enumerate(live.tolist()):
+            to = self.table.take(state[:, :m] + flat[starts[:m] + j])
+            begins = to & 1
+            if not edges or j < STRETCH:
+                count[:, :m] += begins
+            state[:, :m] = to >> 1
+            if edges and j < OVERLAP:
+                zones[0, :, :m, j] = begins
+            elif edges and j >= STRETCH:
+                zones[1, :, :m, j - STRETCH] = begins
+        back = np.argsort(order, kind="stable")
+        return (count[:, back].T, zones[:, :, back]) if edges else count[:, back].T
+
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of each text, and its pieces by language."""
+        flat, starts, sizes, letters = self.symbols(texts)
+        out = np.zeros((len(texts), len(self.names)), np.int64)
+        if not self.names:
+            return letters, out
+        long = np.flatnonzero(sizes > STRETCH + OVERLAP)
+        plain = np.flatnonzero((sizes <= STRETCH + OVERLAP) & (letters > 0))
+        plain = plain[np.argsort(-sizes[plain], kind="stable")]
+        step = max(16, WIDE // len(self.names))
+        for at in range(0, len(plain), step):
+            some = plain[at : at + step]
+            out[some] = self._walk(flat, starts[some], sizes[some])
+        if len(long):
+            out[long] = self._long(flat, starts[long], sizes[long])
+        return letters, out
+
+    def _long(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Pieces of long texts in each language, as one parse from the begin of each counts them.
+
+        Each stretch is parsed as if the text began there.  Where a parse that runs on over
+        the end of its stretch begins a piece at the same symbol as the parse of the next,
+        both go on alike, so the counts are joined there.  A text with a stretch without
+        such a symbol in the overlap is parsed in one go.
+        """
+        total = np.zeros((len(sizes), len(self.names)), np.int64)
+        many = -(-sizes // STRETCH)
+        owner = np.repeat(np.arange(len(sizes)), many)
+        place = (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * STRETCH
+        apart = np.zeros(len(sizes), bool)
+        step = max(16, WIDE // len(self.names))
+        for at in range(0, len(owner), step - 1):  # the last row of a group is the first of the next
+            own, rows = owner[at : at + step], place[at : at + step]
+            count, (heads, tails) = self._walk(flat, starts[own] + rows, np.minimum(sizes[own] - rows, STRETCH + OVERLAP), edges=True)
+            fresh = slice(at > 0, None)
+            np.add.at(total, own[fresh], count[fresh])
+            before, after = tails[:, :-1], heads[:, 1:]
+            both, next_ = before & after, own[1:] == own[:-1]
+            apart[own[1:][next_ & ~both.any(axis=2).all(axis=0)]] = True
+            early = np.arange(OVERLAP)[None, None, :] < both.argmax(axis=2)[:, :, None]
+            joined = (before & early).sum(axis=2) - (after & early).sum(axis=2)
+            np.add.at(total, own[1:][next_], joined.T[next_])
+        for i in np.flatnonzero(apart).tolist():
+            total[i] = self._walk(flat, starts[i : i + 1], sizes[i : i + 1])[0]
+        return total
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """Language, confidence and pieces a letter of the best language."""
+        letters, found = self.counts([t or "" for t in texts])
         out = []
-        for n, *found in self.counts([t or "" for t in texts]).tolist():
-            if not n or not found:
+        for n, counts in zip(letters.tolist(), found.tolist(), strict=True):
+            if not n or not counts:
                 out.append((UNKNOWN, 0.0, 0.0))
                 continue
-            ranked = sorted(zip(found, self.names, strict=True))
+            ranked = sorted(zip(counts, self.names, strict=True))
             best, second = ranked[0][0], ranked[1][0] if len(ranked) > 1 else math.inf
             out.append((ranked[0][1], 1.0 if math.isinf(second) else second / (best + second), best / n))
         return out
@@ -236,7 +264,7 @@ def identify(
 
     def run(batches):
         parser = held(("langid", ident), lambda: Parser(shared.value))
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, tables=True):
             found = parser.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             columns += [pa.array([f[i] for f in found], kind) for i, kind in enumerate(added.values())]
@@ -247,5 +275,9 @@ def identify(
 
 
 def accepted(found: DataFrame) -> DataFrame:
-    """Rows of ``identify(..., keep=True)`` that are in a known language."""
+    """Rows of ``identify(..., keep=True)`` that are in a known language.
+
+    Null, empty and letterless texts and all rows of an unlabelled table go, as they are
+    ``und``; of repeated rows all stay or all go.
+    """
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("rate") <= REJECT_RATE))
