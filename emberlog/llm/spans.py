@@ -1,7 +1,7 @@
 """Removal of repeated passages by sliding spans of sentences.
 
 Every run of two sentences that is not tiny and every run of three sentences is hashed;
-longer runs are made of these.  A run that a document of a smaller id has too, or that the
+longer runs are made of these.  A run that an earlier document has too, or that the
 document itself has had before, is a repeat, and the sentences it covers go.
 """
 
@@ -23,7 +23,6 @@ SENTENCES, WORDS = 2, 10
 _unspaced = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]").findall
 _ends = re.compile(r"[.!?]+[\"')\]]*\s+|[。！？]+\s*|\n\s*").finditer
 _MASK, _PRIME = (1 << 64) - 1, 0x9E3779B97F4A7C15
-LAST_ID = (1 << 63) - 1
 
 
 def sentences(text: str) -> list[str]:
@@ -73,11 +72,11 @@ def runs(pieces: list[str], least: int = SENTENCES, words: int = WORDS) -> dict[
     return out
 
 
-def _firsts(pieces: list[str]) -> tuple[dict[int, tuple[int, int]], list[tuple[int, int]]]:
+def _firsts(pieces: list[str], least: int, words: int) -> tuple[dict[int, tuple[int, int]], list[tuple[int, int]]]:
     """The first run of each hash, and the later runs of hashes that the document has had."""
     first: dict[int, tuple[int, int]] = {}
     again = []
-    for run, h in runs(pieces).items():
+    for run, h in runs(pieces, least, words).items():
         if h in first:
             again.append(run)
         else:
@@ -85,43 +84,60 @@ def _firsts(pieces: list[str]) -> tuple[dict[int, tuple[int, int]], list[tuple[i
     return first, again
 
 
-def dedup(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def dedup(
+    spark: SparkSession,
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    least: int = SENTENCES,
+    words: int = WORDS,
+    scratch: Scratch | None = None,
+) -> DataFrame:
     """Cut sentences covered by repeats out of every text.
 
     Returns all columns of ``docs`` with the text cut, and n_sentences and n_removed (of
     the same names in ``docs`` nothing is left).  A text without repeats is unchanged to
     the byte; nulls stay null and have no sentences; a text with too few sentences
-    or words for a run is never cut.  The smallest key has a passage first; rows that repeat
-    a key count as one document, rows with a null key as one that comes last.
+    or words for a run is never cut.  Every row is a document of its own.  The smallest key
+    has a passage first; rows that repeat a key, and rows with a null key, which come
+    last, follow in the order in which they are read, so of equal rows the first stays
+    whole.  An empty table gives an empty one.
     """
     scratch = scratch or Scratch(spark, "spans")
-    docs = docs.drop("n_sentences", "n_removed")
+    docs = docs.drop("n_sentences", "n_removed", "_span_row")
+    # the row's number is written down, so that both passes mean the same row by it
+    docs = scratch.save(docs.withColumn("_span_row", F.monotonically_increasing_id()), "rows")
 
     def hashes(batches):
         for batch in slices(batches, "text"):
             codes, froms, tos, ends = [], [], [], [0]
-            for t in batch.column(1).to_pylist():
-                first, _ = _firsts(sentences(t or ""))
+            for t in batch.column(2).to_pylist():
+                first, _ = _firsts(sentences(t or ""), least, words)
                 codes += [h - (1 << 64) if h >> 63 else h for h in first]
                 froms += [r[0] for r in first.values()]
                 tos += [r[1] for r in first.values()]
                 ends.append(len(codes))
             ends = pa.array(ends, pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((codes, pa.int64()), (froms, pa.int32()), (tos, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "code", "at", "to"])
-
-    ids = F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID))
-    spans = docs.select(ids.alias("id"), F.col(text).alias("text")).mapInArrow(hashes, "id long, code array<long>, at array<int>, to array<int>")
-    spans = scratch.save(spans, "spans")
-    each = spans.select("id", F.explode("code").alias("code"))
-    repeated = each.groupBy("code").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("code", "first")
-    placed = spans.select("id", F.explode(F.arrays_zip("code", "at", "to")).alias("e")).select("id", "e.code", "e.at", "e.to")
-    later = placed.join(repeated, "code").filter("id > first")
-    cuts = scratch.save(later.groupBy("id").agg(F.collect_list(F.struct("at", "to")).alias("_cuts")).withColumnRenamed("id", "_span_id"), "cuts")
-
-    names = docs.columns
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["id", "row", "code", "at", "to"])
+
+    found = docs.select(F.col(key).cast("long").alias("id"), F.col("_span_row").alias("row"), F.col(text).alias("text"))
+    found = scratch.save(found.mapInArrow(hashes, "id long, row long, code array<long>, at array<int>, to array<int>"), "spans")
+    each = found.select("row", F.explode("code").alias("code"))
+    repeated = each.groupBy("code").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high").select("code")
+    placed = found.select("id", "row", F.explode(F.arrays_zip("code", "at", "to")).alias("e")).select("id", "row", "e.code", "e.at", "e.to")
+    shared = scratch.save(placed.join(repeated, "code"), "shared")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"))
+    first = shared.groupBy("code").agg(F.min(order).getField("row").alias("first"))
+    later = shared.join(first, "code").filter("row <> first")
+    cuts = scratch.save(later.groupBy(F.col("row").alias("_span_row")).agg(F.collect_list(F.struct("at", "to")).alias("_cuts")), "cuts")
+    for name in ("spans", "shared"):
+        scratch.drop(name)
+    scratch.release()
+
+    names = [n for n in docs.columns if n != "_span_row"]
     at = names.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
+    schema = T.StructType([*(docs.schema[n] for n in names), T.StructField("n_sentences", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
 
     def cut(batches):
         for batch in slices(batches, text):
@@ -131,7 +147,7 @@ def dedup(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
                 drop: set[int] = set()
                 for r in found or []:
                     drop.update(range(r["at"], r["to"]))
-                for a, b in _firsts(pieces)[1]:
+                for a, b in _firsts(pieces, least, words)[1]:
                     drop.update(range(a, b))
                 out.append("".join(p for i, p in enumerate(pieces) if i not in drop) if drop else t)
                 counts.append(len(pieces))
@@ -140,4 +156,4 @@ def dedup(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    return docs.join(cuts, ids == F.col("_span_id"), "left").drop("_span_id").mapInArrow(cut, schema)
+    return docs.join(cuts, "_span_row", "left").select(*names, "_cuts").mapInArrow(cut, schema)
