@@ -15,14 +15,20 @@ def turns(rows: DataFrame, pair: Column, conv: str = "conv_id", turn: str = "tur
     """One row a pair: its conversation's turns in order, as structs of role and text.
 
     Null roles and texts are empty; turns of an equal number are in order of role and
-    text; rows of a null turn come first.
+    text; rows of a null turn come first; rows of a null conversation are left out.  A
+    conversation is one row, as a model reads it whole, so it must fit into a task.
     """
     t = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.filter(F.col(conv).isNotNull()).select(pair.alias("pair_id"), t.alias("t")).groupBy("pair_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
 
+def plain(part: Column) -> Column:
+    """Roles and texts without openings and closings of turns: these get a backslash."""
+    return F.regexp_replace(part, r"<\|(im_start|im_end)\|>", r"<\\|$1|>")
+
+
 def rendered(t: Column) -> Column:
-    return F.concat(F.lit(OPEN), t["role"], F.lit(MIDDLE), t["text"], F.lit(CLOSE))
+    return F.concat(F.lit(OPEN), plain(t["role"]), F.lit(MIDDLE), plain(t["text"]), F.lit(CLOSE))
 
 
 def prefix(chosen: Column, rejected: Column) -> Column:
@@ -45,7 +51,7 @@ def _spans(rest: Column) -> Column:
             (s["at"] + F.length(rendered(t))).alias("at"),
             F.when(
                 t["role"] == LEARNT,
-                F.concat(s["out"], F.array(F.struct((s["at"] + F.length(F.lit(OPEN + MIDDLE)) + F.length(t["role"])).cast("int").alias("from"), (s["at"] + F.length(rendered(t))).cast("int").alias("to")))),
+                F.concat(s["out"], F.array(F.struct((s["at"] + F.length(F.lit(OPEN + MIDDLE)) + F.length(plain(t["role"]))).cast("int").alias("from"), (s["at"] + F.length(rendered(t))).cast("int").alias("to")))),
             )
             .otherwise(s["out"])
             .alias("out"),
@@ -62,7 +68,8 @@ def preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     rejected (the turns after them), and for each a mask: the spans [from, to) in
     characters that are learnt, those of assistant turns without their openings.  A pair
     without one of its conversations has no row; equal conversations give two empty
-    completions; without a common turn the prompt is empty.
+    completions; without a common turn the prompt is empty.  Where a role or text holds an
+    opening or closing of turns, a backslash is put into it, so that it makes no turn.
     """
     both = chosen.select("pair_id", F.col("turns").alias("c")).join(rejected.select("pair_id", F.col("turns").alias("r")), "pair_id")
     both = both.withColumn("n", prefix(F.col("c"), F.col("r")))

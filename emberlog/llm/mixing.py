@@ -8,7 +8,8 @@ inclusion probability in a Pareto order sample: documents are ranked by
 the lowest rank are taken until the source's left words are used up.
 
 The ranks of a source are never sorted in one task: a histogram of the ranks finds the
-slice in which the words run out, and only the rows of that slice are put in order.
+cell in which the words run out, a second one the part of that cell, and only the rows of
+that part are put in order.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Cells of the histogram of ranks, for each source; their number bounds a window's rows.
+#: Cells of the histogram of ranks, for each source, and parts of the cell where words run
+#: out; a window has the rows of one part, about a source's rows over the square of this.
 CELLS = 4096
 
 
@@ -31,9 +33,9 @@ def word_count(text: Column) -> Column:
     return F.when(one == "", F.lit(0)).otherwise(F.length(one) - F.length(F.translate(one, " ", "")) + 1).cast("long")
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number above 0 and below 1 made from the key: 52 bits of a digest."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))))
+def uniform(key: Column, text: Column, seed: int) -> Column:
+    """A number above 0 and below 1 made from the key, or the text if the key is null: 52 bits of a digest."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
@@ -44,7 +46,9 @@ def targets(sizes: DataFrame, source: str, cap: float = 3.0, weights: int = 3) -
     share all words by weight and stop at ``cap`` times the source's words; the excess is
     shared again by weight.  With sources ordered by words over weight, those up to some
     place stop at their cap and the rest share what is left: the first place at which the
-    next source would not reach its cap.
+    next source would not reach its cap.  One row a source is put in order in one task, so
+    sources must be few beside documents.  A null source is one of its own; a source
+    without words has the target 0; an empty table gives an empty one.
     """
     by_source = sizes.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -71,6 +75,37 @@ def targets(sizes: DataFrame, source: str, cap: float = 3.0, weights: int = 3) -
     )
 
 
+def _scales(scratch: Scratch, rows: DataFrame, goal: DataFrame, cap: float) -> DataFrame:
+    """Per source the scale at which ``least(cap, scale * importance)`` copies of all rows make its target.
+
+    Rows at the cap give cap times their size and the others share what is left by
+    importance; that can bring others to the cap, so it is done again until none is.
+    """
+    now = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("importance")).alias("loose")).alias("s")
+    now = now.join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("g.*", (F.col("target") / F.col("loose")).alias("scale"), F.lit(0).cast("long").alias("at_cap"))
+    now, k = scratch.save(now, "scales-0"), 0
+    while True:
+        known = rows.alias("r").join(now.alias("n"), F.col("r.source").eqNullSafe(F.col("n.source"))).select("n.source", "r.size", "r.importance", "n.scale")
+        full = F.col("scale") * F.col("importance") >= cap
+        sums = known.groupBy("source").agg(F.sum(F.when(full, 1).otherwise(0)).alias("full"), F.sum(F.when(full, F.col("size")).otherwise(0)).alias("held"), F.sum(F.when(~full, F.col("size") * F.col("importance"))).alias("loose"))
+        scale = F.when(F.col("loose") > 0, (F.col("target") - F.lit(float(cap)) * F.col("held")) / F.col("loose")).otherwise(F.col("scale"))
+        before, k = now, k + 1
+        now = before.alias("b").join(sums.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
+        now = scratch.save(now.select("b.source", "source_size", "target", scale.alias("scale"), F.col("full").alias("at_cap"), (F.col("full") > F.col("at_cap")).alias("more")), f"scales-{k}")
+        if not now.filter("more").limit(1).count():
+            return now.select("source", "source_size", "target", "scale")
+        now = now.drop("more")
+
+
+def _edge(scratch: Scratch, rows: DataFrame, cell: str, name: str) -> DataFrame:
+    """Per source the cell in which ``left`` words run out, the words before it, and those left there."""
+    sums = rows.filter(F.col(cell).isNotNull()).groupBy("source", cell).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+    by_cell = Window.partitionBy("source").orderBy(cell)
+    placed = sums.withColumn("before", F.sum("words").over(by_cell) - F.col("words"))
+    at = (F.col("before") < F.col("left")) & (F.col("before") + F.col("words") >= F.col("left"))
+    return scratch.save(placed.groupBy("source").agg(F.max(F.when(at, F.col(cell))).alias("edge"), F.max(F.when(at, F.col("before"))).alias("edge_before")), name)
+
+
 def mix(
     spark: SparkSession,
     docs: DataFrame,
@@ -80,63 +115,60 @@ def mix(
     cap: float = 3.0,
     seed: int = 7,
     importance: str | None = None,
+    row: str | None = None,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """How many whole copies of each document the mix takes.
 
     Returns key, size, source_size, target, copies and taken (copies * size), a row for
-    each row of ``docs``.  Null texts have size 0 and are never taken; null sources are a
-    source of their own, the last; repeated rows are taken alike, but for the last few
-    that use up a source's words.  No document gets more than ``ceil(cap)`` copies.
-    ``importance`` names a positive column; nulls count as 1.
+    each row of ``docs``, and the column ``row`` of ``docs`` if one is named.  Null texts
+    have size 0 and are never taken; null sources are a source of their own, the last;
+    repeated rows are taken alike, but for the last few that use up a source's words.  No
+    document gets more than ``ceil(cap)`` copies.  ``importance`` names a column of odds by
+    which the documents of a source are taken; nulls count as 1, numbers below 0 as 0.
     """
     scratch = scratch or Scratch(spark, "mixing")
+    carried = [F.col(row).alias("row")] if row else []
     slim = docs.select(
         F.col(key).alias("doc_key"),
         F.col(source).alias("source"),
         word_count(F.col(text)).alias("size"),
-        (F.coalesce(F.col(importance).cast("double"), F.lit(1.0)) if importance else F.lit(1.0)).alias("importance"),
+        uniform(F.col(key), F.col(text), seed).alias("u"),
+        (F.greatest(F.coalesce(F.col(importance).cast("double"), F.lit(1.0)), F.lit(0.0)) if importance else F.lit(1.0)).alias("importance"),
+        *carried,
     )
     slim = scratch.save(slim, "sizes")  # the texts are read once
-    weighed = slim.groupBy("source").agg((F.sum(F.col("size") * F.col("importance")) / F.sum("size")).alias("mean_importance"))
-    goal = targets(slim, "source", cap).alias("g").join(weighed.alias("w"), F.col("g.source").eqNullSafe(F.col("w.source"))).select("g.*", "w.mean_importance")
-    goal = scratch.save(goal, "targets")
-
-    rows = slim.alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("d.*", "g.source_size", "g.target", "g.mean_importance")
-    rate = F.when(F.col("size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size") * F.col("importance") / F.col("mean_importance"))).otherwise(0.0)
+    goal = scratch.save(targets(slim, "source", cap), "targets")
+    scale = F.col("target") / F.col("source_size")
+    if importance:
+        goal, scale = _scales(scratch, slim, goal, cap), F.col("scale")
+    rows = slim.alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("d.*", *(f"g.{c}" for c in goal.columns if c != "source"))
+    rate = F.when(F.col("size") > 0, F.least(F.lit(float(cap)), scale * F.col("importance"))).otherwise(0.0)
     rows = rows.withColumn("rate", rate).withColumn("sure", F.floor("rate").cast("long")).withColumn("p", F.col("rate") - F.col("sure"))
-    u = uniform(F.col("doc_key"), seed)
-    rank = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
+    rank = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     rows = rows.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), rank))
     # over the source's own odds ranks are spread evenly: as odds of a number between 0 and 1
     part = F.col("target") / F.col("source_size") - F.floor(F.col("target") / F.col("source_size"))
     odds = F.col("rank") * F.when((part > 0) & (part < 1), part / (1 - part)).otherwise(1.0)
-    rows = rows.withColumn("cell", F.least(F.lit(CELLS - 1), F.floor(odds / (1 + odds) * CELLS)).cast("int"))
+    place = odds / (1 + odds) * CELLS
+    rows = rows.withColumn("cell", F.least(F.lit(CELLS - 1), F.floor(place)).cast("int"))
+    rows = rows.withColumn("part", F.least(F.lit(CELLS - 1), F.floor((place - F.col("cell")) * CELLS)).cast("int"))
     rows = scratch.save(rows, "ranked")
 
-    sums = rows.groupBy("source", "cell").agg(F.sum(F.col("sure") * F.col("size")).alias("sure_words"), F.sum(F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.first("target").alias("target"))
-    by_cell = Window.partitionBy("source").orderBy(F.col("cell").asc_nulls_first())
-    whole = Window.partitionBy("source")
-    left = F.col("target") - F.sum("sure_words").over(whole)
-    cells = sums.select("source", "cell", left.alias("left"), (F.sum("words").over(by_cell) - F.col("words")).alias("before"), F.col("words"))
-    cells = cells.filter(F.col("cell").isNotNull())
-    at = (F.col("before") < F.col("left")) & (F.col("before") + F.col("words") >= F.col("left"))
-    edge = scratch.save(
-        cells.groupBy("source").agg(
-            F.max(F.when(at, F.col("cell"))).alias("edge"),
-            F.max(F.when(at, F.col("before"))).alias("edge_before"),
-            F.first("left").alias("left"),
-            F.sum("words").alias("loose"),
-        ),
-        "edges",
-    )
-    known = rows.alias("r").join(edge.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")), "left").select("r.*", "e.edge", "e.edge_before", "e.left", "e.loose")
-    on_edge = F.col("cell").isNotNull() & F.col("edge").isNotNull() & (F.col("cell") == F.col("edge"))
+    sure = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("sure") * F.col("size"))).alias("left"))
+    rows = rows.alias("r").join(scratch.save(sure, "left").alias("l"), F.col("r.source").eqNullSafe(F.col("l.source"))).select("r.*", "l.left")
+    edge = _edge(scratch, rows, "cell", "edges")
+    known = rows.alias("r").join(edge.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")), "left").select("r.*", "e.edge", F.coalesce("e.edge_before", F.lit(0)).alias("edge_before"))
+    in_cell = known.filter("cell = edge").select("source", "size", "part", (F.col("left") - F.col("edge_before")).alias("left"))
+    inner = _edge(scratch, in_cell, "part", "parts").select("source", F.col("edge").alias("last_part"), F.col("edge_before").alias("part_before"))
+    known = known.alias("k").join(inner.alias("i"), F.col("k.source").eqNullSafe(F.col("i.source")), "left").select("k.*", "i.last_part", "i.part_before")
+    on_edge = F.coalesce((F.col("cell") == F.col("edge")) & (F.col("part") == F.col("last_part")), F.lit(False))
     # without an edge either nothing is left to take or all loose rows are needed
-    loose = F.when(F.col("cell").isNull() | (F.col("left") <= 0), 0).when(F.col("edge").isNull(), 1).otherwise((F.col("cell") < F.col("edge")).cast("int"))
-    plain = known.filter(~F.coalesce(on_edge, F.lit(False))).withColumn("extra", loose.cast("long"))
-    last = known.filter(F.coalesce(on_edge, F.lit(False)))
-    run = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_key", "size").rowsBetween(Window.unboundedPreceding, 0)) + F.col("edge_before")
+    earlier = (F.col("cell") < F.col("edge")) | ((F.col("cell") == F.col("edge")) & (F.col("part") < F.col("last_part")))
+    loose = F.when(F.col("cell").isNull() | (F.col("left") <= 0), 0).when(F.col("edge").isNull(), 1).otherwise(earlier.cast("int"))
+    plain = known.filter(~on_edge).withColumn("extra", loose.cast("long"))
+    last = known.filter(on_edge)
+    run = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_key", "size").rowsBetween(Window.unboundedPreceding, 0)) + F.col("edge_before") + F.col("part_before")
     # the row on which the words run out is taken if that comes nearer to the target
     nearer = (run <= F.col("left")) | ((run - F.col("size") < F.col("left")) & (run - F.col("left") <= F.col("left") - run + F.col("size")))
     last = last.withColumn("extra", nearer.cast("long"))
@@ -148,4 +180,5 @@ def mix(
         "target",
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
+        *([F.col("row").alias(row)] if row else []),
     )

@@ -56,10 +56,14 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k are chosen over conversations 2k + 1."""
+    """Conversations 2k are chosen over conversations 2k + 1.
+
+    Rows of a null conversation and conversations without a counterpart give nothing;
+    repeated rows are turns of their own; an empty table gives no pairs.
+    """
     rows = table(spark, sf_dir, "conversations")
-    pair = F.floor(F.col("conv_id") / 2)
-    sides = [chat.turns(rows.filter(F.pmod("conv_id", F.lit(2)) == k), pair) for k in (0, 1)]
+    pair = F.shiftright("conv_id", 1)
+    sides = [chat.turns(rows.filter(F.col("conv_id").bitwiseAND(1) == k), pair) for k in (0, 1)]
     found = chat.preferences(*sides)
     return found.select("pair_id", "n_prompt_turns", "prompt", "chosen", "rejected", chat.spans_text(F.col("chosen_mask")).alias("chosen_mask"), chat.spans_text(F.col("rejected_mask")).alias("rejected_mask"))
 
@@ -79,7 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 PREFERENCES_SQL = r"""
 WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
   FROM conversations WHERE conv_id IS NOT NULL),
 pairs AS (SELECT pair_id, max(k) FILTER (side = 0) AS nc, max(k) FILTER (side = 1) AS nr FROM t GROUP BY 1 HAVING nc IS NOT NULL AND nr IS NOT NULL),
@@ -87,14 +91,17 @@ other AS (
   SELECT c.pair_id, min(c.k) AS k FROM t c JOIN t r ON c.pair_id = r.pair_id AND c.k = r.k AND c.side = 0 AND r.side = 1
   WHERE c.role <> r.role OR c.text <> r.text GROUP BY 1),
 cut AS (SELECT p.pair_id, coalesce(o.k - 1, least(nc, nr)) AS n FROM pairs p LEFT JOIN other o USING (pair_id)),
+safe AS (
+  SELECT pair_id, side, k, role, regexp_replace(role, '<\|(im_start|im_end)\|>', '<\\|\1|>', 'g') AS name,
+         regexp_replace(text, '<\|(im_start|im_end)\|>', '<\\|\1|>', 'g') AS body FROM t),
 made AS (
-  SELECT t.pair_id, side, k, n, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS s FROM t JOIN cut USING (pair_id)),
+  SELECT safe.pair_id, side, k, n, role, name, '<|im_start|>' || name || chr(10) || body || '<|im_end|>' || chr(10) AS s FROM safe JOIN cut USING (pair_id)),
 placed AS (
   SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY pair_id, side ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM made WHERE k > n),
 done AS (
   SELECT pair_id, side, string_agg(s, '' ORDER BY k) AS body,
-         string_agg((pos + 13 + length(role))::BIGINT || '-' || (pos + length(s))::BIGINT, ',' ORDER BY k) FILTER (role = 'assistant') AS mask
+         string_agg((pos + 13 + length(name))::BIGINT || '-' || (pos + length(s))::BIGINT, ',' ORDER BY k) FILTER (role = 'assistant') AS mask
   FROM placed GROUP BY 1, 2)
 SELECT cut.pair_id, cut.n::INTEGER AS n_prompt_turns,
   coalesce((SELECT string_agg(m.s, '' ORDER BY m.k) FROM made m WHERE m.pair_id = cut.pair_id AND m.side = 0 AND m.k <= m.n), '') AS prompt,
@@ -103,7 +110,7 @@ FROM cut LEFT JOIN done c ON c.pair_id = cut.pair_id AND c.side = 0 LEFT JOIN do
 """
 
 MIXING_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM s),
 l AS (
@@ -116,7 +123,7 @@ c AS (SELECT *, (SELECT arg_min(share, place) FROM h WHERE share * weight <= sou
 g AS (SELECT source, source_size, CASE WHEN chosen IS NULL THEN source_size * 3.0::DOUBLE ELSE least(chosen * weight, source_size * 3.0::DOUBLE) END AS target FROM c),
 r AS (
   SELECT d.*, g.source_size, g.target, CASE WHEN size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0.0 END AS rate,
-    (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+    (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 k AS (SELECT *, floor(rate)::BIGINT AS sure, rate - floor(rate)::BIGINT AS p FROM r),
 q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank, target - sum(sure * size) OVER (PARTITION BY source) AS left_words FROM k),
