@@ -92,30 +92,34 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, epochs: int =
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[float, dict[str, float]]:
-    """Fit on a bounded sample of labelled rows that are not held out, in one task.
+    """Fit on a bounded sample of labelled rows that are not held out; only the sample moves to one task.
 
     Of each label about SAMPLE_ROWS rows with the smallest hashes of the key are taken and
-    weighed back to their number.  Without rows of both labels nothing is toxic.
+    weighed back to their number.  Null keys, labels other than 0 and 1 and labelled rows
+    without a document are left out; a row that is labelled twice alike counts once, one
+    with both labels as a row of each; of documents that repeat a key one counts.  Without rows of both labels nothing is toxic.
     """
-    known = labels.select(F.col(key), F.col(label).cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & ~held_out(F.col(key)))
+    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).filter(F.col("key").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("key"))).distinct()
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return -20.0, {}
     rates = {k: min(1.0, SAMPLE_ROWS / n) for k, n in counts.items()}
-    draw = F.pmod(F.xxhash64(F.lit(4), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(4), "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = known.withColumn("rate", F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0])).filter(draw < F.col("rate"))
     # the sample's size is bounded, so it can be sent to the documents
-    sample = docs.select(key, F.substring(text, 1, ROW_CHARS).alias("text")).join(F.broadcast(chosen), key).select(key, "text", "toxic", "rate")
+    texts = docs.select(F.col(key).alias("key"), F.substring(text, 1, ROW_CHARS).alias("text"))
+    # rows that repeat a key have one draw, so one text of a key is taken
+    sample = texts.join(F.broadcast(chosen), "key").groupBy("key", "toxic", "rate").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches):
         t = pa.Table.from_batches(batches, schema=None) if (batches := list(batches)) else None
         if t is None:
             return
-        t = t.sort_by([(key, "ascending")])
+        t = t.sort_by([("key", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
         b, words = train([x or "" for x in t["text"].to_pylist()], t["toxic"].to_numpy(), 1 / t["rate"].to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([list(words)], pa.list_(pa.string())), pa.array([list(words.values())], pa.list_(pa.float64()))], names=["b", "words", "weights"])
 
-    got = sample.coalesce(1).mapInArrow(run, "b double, words array<string>, weights array<double>").collect()
+    got = sample.repartition(1).mapInArrow(run, "b double, words array<string>, weights array<double>").collect()
     if not got:
         return -20.0, {}
     return got[0]["b"], dict(zip(got[0]["words"], got[0]["weights"], strict=True))
