@@ -14,6 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices
@@ -40,6 +41,9 @@ FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11:
 CODECS = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits"}
 CODES = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773}
 
+#: No codec makes more bytes of one; pages that claim more are not read.
+EXPANSION = 1500
+
 #: Layout of stored payloads: bytes of a row, rows of a page, rows of a strip, side of a tile.
 ROW_BYTES, PAGE_ROWS, STRIP_ROWS, TILE = 576, 4096, 64, 192
 
@@ -164,7 +168,7 @@ def unpack_lzw(data: bytes, size: int) -> bytes:
 
 def unpack(codec: str, data: bytes, size: int) -> bytes:
     if codec == "deflate":
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, size)
     if codec == "lzw":
         return unpack_lzw(data, size)
     return unpack_packbits(data, size) if codec == "packbits" else data
@@ -220,6 +224,10 @@ def _page(data: bytes, order: str, found: dict[int, list[int]]):
     else:
         cell_w, cell_h = width, min(height, one("rows_per_strip", height)) or 1
         offsets, counts = found[TAGS["offsets"]], found[TAGS["counts"]]
+    if height * width * samples * kind.itemsize > EXPANSION * len(data):
+        raise ValueError(f"{len(data)} bytes cannot hold {width} x {height} pixels")
+    if not (width and height and samples and cell_w and cell_h):
+        raise ValueError("a page without pixels")
     across, down = -(-width // cell_w), -(-height // cell_h)
     out = np.zeros((height, width, samples), kind.newbyteorder("="))
     for k, (at, size) in enumerate(zip(offsets, counts, strict=True)):
@@ -354,7 +362,8 @@ def encode_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """Store every text as a TIFF file: key, n_bytes, media.
 
     The payload is the text in UTF-8 (null: empty) with bytes 255 appended up to a
-    positive multiple of ROW_BYTES.
+    positive multiple of ROW_BYTES.  Repeated rows each give a row; other columns are not
+    read; an empty table gives an empty one.
     """
 
     def run(batches):
@@ -372,33 +381,59 @@ def encode_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 def digests(stored: DataFrame, key: str = "doc_id") -> DataFrame:
     """Read files (key, n_bytes, media) back and reduce each to digests and a feature.
 
-    The pages of a file are hashed in turn, so no file's samples are put together.  The
-    feature lists the pages, the samples' sum, their smallest and largest, and the number
-    of distinct ones.
+    The row-per-page reader gives the pages of a file one after the other, and these are
+    hashed in turn, so no file's samples are put together.  The feature lists the pages,
+    the samples' sum, their smallest and largest, and the number of distinct ones.  A null
+    or empty file gives no row, one that cannot be read a row of nulls but for key, n_bytes
+    and media; equal rows give equal rows; other columns are not read.
     """
     number, string = T.LongType(), T.StringType()
     kinds = {"n_bytes": number, "payload_bytes": number, "payload_sha256": string, "tail_crc32": number, "media_bytes": number, "media_sha256": string, "feature": string}
-
-    def one(media: bytes):
-        sha, size, tail, total, counts, shapes = hashlib.sha256(), 0, b"", 0, np.zeros(256, np.int64), []
-        for facts, samples in pages(media):
-            raw = samples.tobytes()
-            sha.update(raw)
-            size += len(raw)
-            tail = (tail + raw[-32:])[-32:]
-            counts += np.bincount(samples.ravel(), minlength=256)
-            shapes.append(f"{facts['width']}x{facts['height']}{facts['compression'][0]}")
-        total = int((counts * np.arange(256)).sum())
-        found = np.flatnonzero(counts)
-        feature = f"pages={','.join(shapes)};sum={total};min={found[0]};max={found[-1]};distinct={len(found)}"
-        return size, sha.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature
+    arrow = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "feature": pa.string()}
+    files = stored.select(F.col(key).alias("key"), "n_bytes", "media", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+
+    class Sums:
+        def __init__(self):
+            self.sha, self.size, self.tail, self.counts, self.shapes = hashlib.sha256(), 0, b"", np.zeros(256, np.int64), []
+
+        def add(self, width: int, height: int, codec: str, raw: memoryview) -> None:
+            self.sha.update(raw)
+            self.size += len(raw)
+            self.tail = (self.tail + bytes(raw[-32:]))[-32:]
+            self.counts += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+            self.shapes.append(f"{width}x{height}{codec[0]}")
+
+        def row(self) -> dict:
+            if not self.size:
+                return {}
+            found = np.flatnonzero(self.counts)
+            total = int((self.counts * np.arange(256)).sum())
+            feature = f"pages={','.join(self.shapes)};sum={total};min={found[0]};max={found[-1]};distinct={len(found)}"
+            return {"payload_bytes": self.size, "payload_sha256": self.sha.hexdigest(), "tail_crc32": zlib.crc32(self.tail), "feature": feature}
 
     def run(batches):
-        for batch in slices(batches, "media"):
-            rows = [one(m) for m in batch.column(2).to_pylist()]
-            columns = zip(*rows, strict=True)
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, types, strict=True))], names=[key, *kinds])
-
-    schema = T.StructType([stored.schema[key], *(T.StructField(k, v) for k, v in kinds.items())])
-    return stored.select(key, "n_bytes", "media").mapInArrow(run, schema)
+        sums, last = None, None  # of the file whose pages come now, and its row
+        for batch in slices(batches, "pixels"):
+            page, width, height, codec = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("page", "width", "height", "compression"))
+            pixels = batch.column(batch.schema.get_field_index("pixels"))
+            rows, done = [], []
+            for i, n in enumerate(page):
+                if not n:  # the first page of a file, or a file that cannot be read
+                    if sums is not None:
+                        done.append(sums.row())
+                        rows.append(last)
+                    sums, last = Sums(), batch.slice(i, 1).select(["key", "n_bytes", "media_bytes", "media_sha256"])
+                if n is not None:
+                    sums.add(width[i], height[i], codec[i], memoryview(pixels[i].as_buffer()))
+            if done:
+                yield made(rows, done)
+        if sums is not None:
+            yield made([last], [sums.row()])
+
+    def made(rows, done):
+        t = pa.Table.from_batches(rows).combine_chunks()
+        new = {n: pa.array([d.get(n) for d in done], k) for n, k in arrow.items()}
+        return pa.Table.from_arrays([t["key"], *(new[n] if n in new else t[n] for n in kinds)], names=["key", *kinds]).combine_chunks().to_batches()[0]
+
+    schema = T.StructType([T.StructField("key", stored.schema[key].dataType), *(T.StructField(k, v) for k, v in kinds.items())])
+    return decode_pages(files).mapInArrow(run, schema).withColumnRenamed("key", key)
