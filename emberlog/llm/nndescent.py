@@ -34,16 +34,12 @@ def grown(least: int, n: int) -> int:
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """Rows (vec_id, embedding) that can be compared: not null or zero, all components finite.
-
-    Of several dimensions that of most rows counts, of equally many the larger.
-    """
+    """Rows (vec_id, embedding) that can be compared: not null or zero, all components finite."""
     e = F.col("embedding")
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("embedding"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0)).filter(~bad & F.exists(e, lambda x: x != 0))
-    top = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.filter(F.size("embedding") == (top["d"] if top else 0))
+    rows = rows.filter(F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0))
+    return rows.filter(~bad & F.exists(e, lambda x: x != 0))
 
 
 def _matrix(column: pa.Array, kind=np.float32) -> np.ndarray:
@@ -161,10 +157,10 @@ def first_edges(small: DataFrame, parts: int) -> DataFrame:
 
 
 def _keep(edges: DataFrame) -> DataFrame:
-    """The NEIGHBOURS best edges of each node."""
+    """The NEIGHBOURS best edges of each node; a hub's are cut down before they meet in one task."""
     one = edges.groupBy("node", "nbr").agg(F.max("sim").alias("sim"))
-    best = one.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "nbr")), asc=False), 1, NEIGHBOURS).alias("e"))
-    return best.select("node", F.explode("e").alias("e")).select("node", "e.nbr", "e.sim")
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), F.desc("nbr")))
+    return one.withColumn("place", place).filter(F.col("place") <= NEIGHBOURS).select("node", "nbr", "sim")
 
 
 def _reverse(edges: DataFrame, seed: int) -> DataFrame:
@@ -242,10 +238,24 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5,
     the vectors as given (32-bit components).  Equal scores go to the smaller vec_id.  The
     query's own id is no candidate; if fewer than k candidates exist, all are found.  Rows
     with a null key, or a vector that is null, zero or not finite throughout, take no part;
-    rows that repeat a key and vector count once.  Other columns are not read.
+    rows that repeat a key and vector count once.  Vectors of unlike length are not
+    compared: each length has a graph of its own, one after the other, so lengths must be
+    few.  Of a key with vectors of several lengths the nearest of all count.  Other columns
+    are not read.
     """
-    scratch = Scratch(spark, "nndescent")
     rows = usable(vectors, key, vector)
+    lengths = [r[0] for r in rows.select(F.size("embedding")).distinct().collect()]
+    found = [_search(spark, rows.filter(F.size("embedding") == n), every, k) for n in sorted(lengths) or [0]]
+    each = found[0]
+    for more in found[1:]:
+        each = each.unionByName(more)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return each.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(spark: SparkSession, rows: DataFrame, every: int, k: int) -> DataFrame:
+    """Candidates (query_id, vec_id, score) of the queries among ``rows`` (vec_id, embedding) of one length."""
+    scratch = Scratch(spark, "nndescent")
     all_nodes = scratch.save(nodes(rows, k + 1), "nodes")
     small = scratch.save(_small(all_nodes), "small")
     edges = build(spark, scratch, small)
@@ -264,7 +274,7 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5,
     beam_size, n_pivots = grown(BEAM, n), grown(PIVOTS, n)
     pivots = small.orderBy(F.xxhash64("node", F.lit(3))).limit(n_pivots).collect()  # a few hundred rows
     if not pivots:
-        return asked.select("query_id", F.lit(1).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
+        return asked.select("query_id", F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     shared = spark.sparkContext.broadcast((np.array([p["node"] for p in pivots]), [bytes(p["half"]) for p in pivots]))
 
     def start(batches):
@@ -325,9 +335,7 @@ def search(spark: SparkSession, vectors: DataFrame, every: int = 50, k: int = 5,
 
     pairs = state.select("q", F.explode("beam.node").alias("node")).join(asked.select("q", "query_id", F.col("vec").alias("query_vec")), "q").join(all_nodes, "node")
     scored = pairs.select("q", "query_id", "query_vec", "vec", "ids").mapInArrow(rank, "q long, query_id long, score double, ids array<long>")
-    each = scored.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
 
 _beam = pa.list_(pa.struct([("node", pa.int64()), ("sim", pa.float64()), ("seen", pa.bool_())]))
