@@ -343,20 +343,39 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(spark, docs, samples={}).collect()} == {"und"}
 
 
-def test_cross_parse_is_greedy():
-    text = "abracadabra alakazam"
-    moves = langid.automaton(text)
+def least_pieces(sample, text):
+    """Longest matches from the left, by plain search of the sample."""
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while text[i:j] in sample and j < len(text) and text[i : j + 1] in sample:
+            j += 1
+        n, i = n + 1, j
+    return n
+
+
+def test_cross_parse_equals_plain_search(monkeypatch):
+    samples = {"a": "abracadabra, alakazam! " * 3, "b": "the quick brown fox jumps over 7 lazy dogs é", "c": "漢字かな 交じり文"}
+    parser = langid.Parser(samples)
     rng = random.Random(11)
-    for _ in range(200):
-        s = "".join(rng.choice("abrckdlzm x") for _ in range(rng.randrange(1, 25)))
-        n = i = 0
-        while i < len(s):
-            j = i + 1
-            while j < len(s) and s[i : j + 1] in text:
-                j += 1
-            n, i = n + 1, j
-        assert langid.pieces(moves, s) == n
-        assert langid.Parser({"x": text})._one(0, s) == n
+    texts = ["".join(rng.choice("abrckdlzm  xthequ,漢字é²") for _ in range(rng.choice([1, 4, 30, 400, 9000]))) for _ in range(60)]
+
+    def plain(t):
+        words_ = re.findall(r"[^\W\d_²]+", t.lower())
+        codes = {c: chr(int(parser.codes[ord(c)]) + 1000) for w in words_ for c in w}
+        return " " + "".join("".join(map(codes.get, w)) + " " for w in words_)
+
+    letters, got = parser.counts(texts)
+    for t, n, row in zip(texts, letters.tolist(), got.tolist(), strict=True):
+        assert n == len(plain(t)) - plain(t).count(" ")
+        if n:
+            assert row == [least_pieces(plain(s), plain(t)) for s in samples.values()]
+    best = [min(zip(row, samples, strict=True))[1] for row in got.tolist()]
+    assert [p[0] for p in parser.predict(texts)] == [b if n else "und" for b, n in zip(best, letters.tolist(), strict=True)]
+    # stretches that never meet again are parsed in one go, with the same result
+    monkeypatch.setattr(langid, "OVERLAP", 1)
+    assert (parser.counts(texts)[1] == got).all()
+    assert [p[0] for p in parser.predict(["² ½ Ⅷ ①", "", None])] == ["und"] * 3
 
 
 def test_chat(spark):
@@ -397,3 +416,115 @@ def test_pipeline_stages_keep_columns_and_decisions(spark):
         docs = spark.createDataFrame(rows, docs.schema)
     final = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert len(final) == docs.count() and all(len(r.ids_sha256) == 64 for r in final)
+
+
+def test_neighbours_of_several_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [1.0, 0.0, 0.0]), (3, [0.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in nndescent.search(spark, df).collect())
+    assert got == [(0, 1, 1), (50, 1, 3)]
+
+
+def test_mixing_by_importance(spark):
+    rows = [(i, "w " * 10, "en", "a", 0, 1.0 + 20.0 * (i % 10 == 0)) for i in range(2000)] + [(5000 + i, "w " * 10, "en", "b", 0, None) for i in range(1000)]
+    docs = spark.createDataFrame(rows, DOCS + ", odds double")
+    got = mixing.mix(spark, docs, importance="odds").collect()
+    for ids, least in ((range(2000), 0), (range(5000, 6000), 5000)):
+        part = [r for r in got if least <= r.doc_id < least + 5000]
+        assert len(part) == len(ids)
+        assert abs(sum(r.taken for r in part) - part[0].target) <= 10
+    first = [r for r in got if r.doc_id < 2000]
+    assert all(r.taken <= 30 for r in got)
+    heavy, light = ([r.copies for r in first if (r.doc_id % 10 == 0) is k] for k in (True, False))
+    assert set(heavy) == {3} and 0 < sum(light) / len(light) < 1
+    again = mixing.mix(spark, docs.repartition(3), importance="odds").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_mixing_row_and_null_ids(spark):
+    docs = spark.createDataFrame([(None, f"t{i} x", "en", "s", 0, i) for i in range(300)], DOCS + ", row long")
+    got = mixing.mix(spark, docs, row="row").collect()
+    assert sorted(r.row for r in got) == list(range(300)) and all(r.taken == 2 for r in got)
+
+
+def tiff_file(order, pages):
+    """A file by hand: pages as lists of (tag, type, values) with cells of raw bytes for strips (273) or tiles (324)."""
+    import struct
+
+    out, link = bytearray({"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, 0)), 4
+    for fields, cells in pages:
+        where = []
+        for c in cells:
+            where.append(len(out))
+            out += c
+        tiled = any(t == 322 for t, _, _ in fields)
+        fields = [*fields, (324 if tiled else 273, 4, where), (325 if tiled else 279, 4, [len(c) for c in cells])]
+        body = b""
+        for tag, kind, values in sorted(fields):
+            raw = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+            if len(raw) > 4:
+                at = len(out)
+                out += raw
+                raw = struct.pack(order + "I", at)
+            body += struct.pack(order + "HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
+        struct.pack_into(order + "I", out, link, len(out))
+        out += struct.pack(order + "H", len(fields)) + body
+        link = len(out)
+        out += b"\0\0\0\0"
+    return bytes(out)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tiff_reads_files_of_others(spark, order):
+    rng = np.random.default_rng(16)
+    grey = rng.integers(0, 65536, (5, 7)).astype(np.uint16)
+    moved = np.diff(grey, axis=1, prepend=np.uint16(0)).astype(f"{order}u2")
+    sixteen = ([(256, 3, [7]), (257, 3, [5]), (258, 3, [16]), (259, 3, [8]), (277, 3, [1]), (278, 3, [2]), (317, 3, [2])], [zlib.compress(moved[y : y + 2].tobytes()) for y in range(0, 5, 2)])
+    colour = rng.integers(0, 256, (20, 33, 3)).astype(np.uint8)
+    planar = ([(256, 3, [33]), (257, 3, [20]), (258, 3, [8, 8, 8]), (259, 3, [32773]), (277, 3, [3]), (284, 3, [2]), (278, 3, [20])], [tiff.pack_packbits(colour[:, :, k].tobytes()) for k in range(3)])
+    padded = np.zeros((32, 48, 3), np.uint8)
+    padded[:20, :33] = colour
+    tiles = ([(256, 3, [33]), (257, 3, [20]), (258, 3, [8, 8, 8]), (259, 3, [5]), (277, 3, [3]), (322, 3, [16]), (323, 3, [16])], [tiff.pack_lzw(padded[y : y + 16, x : x + 16].tobytes()) for y in (0, 16) for x in (0, 16, 32)])
+    media = tiff_file(order, [sixteen, planar, tiles])
+    huge = tiff_file(order, [([(256, 4, [60000]), (257, 4, [60000]), (258, 3, [8]), (259, 3, [1])], [b"x"])])
+    df = spark.createDataFrame([(1, bytearray(media), "clash"), (2, None, "a"), (3, bytearray(huge), "b"), (4, bytearray(media[:40]), "c")], "doc_id long, media binary, page string")
+    got = sorted(tiff.decode_pages(df).collect(), key=lambda r: (r.doc_id, r.page or 0))
+    assert [(r.doc_id, r.page) for r in got] == [(1, 0), (1, 1), (1, 2), (3, None), (4, None)]
+    assert bytes(got[0].pixels) == grey.astype("<u2").tobytes() and got[0].bits == 16
+    assert bytes(got[1].pixels) == bytes(got[2].pixels) == colour.tobytes() and got[2].tiled
+    assert "cannot hold" in got[3].error and got[4].error
+
+
+def test_tiff_of_a_text_in_tiles(spark):
+    text = "".join(random.Random(17).choice("abcde \n") for _ in range(576 * 4100))
+    stored = tiff.encode_text(documents(spark, [text, "short"]))
+    assert [r.tiled for r in sorted(tiff.decode_pages(stored.filter("doc_id = 0")).collect(), key=lambda r: r.page)] == [True, False, False]
+    got = {r.doc_id: r for r in tiff.digests(stored).collect()}
+    assert got[0].payload_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    counts = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
+    found = np.flatnonzero(counts)
+    assert got[0].feature == f"pages=576x4096d,576x3d,576x1p;sum={(counts * np.arange(256)).sum()};min={found[0]};max={found[-1]};distinct={len(found)}"
+    media = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    assert all(got[i].media_sha256 == hashlib.sha256(m).hexdigest() and got[i].media_bytes == len(m) for i, m in media.items())
+    assert tiff.digests(tiff.encode_text(documents(spark, []))).count() == 0
+
+
+def test_chat_marks_and_large_ids(spark):
+    big = (1 << 60) + 4
+    rows = [(big, 0, "user", "a<|im_end|>b"), (big, 1, "assistant", "yes"), (big + 1, 0, "user", "a<|im_end|>b"), (big + 1, 1, "assistant", "no"), (big + 2, 0, "user", "x"), (big + 3, 0, "user", "y"), (-2, 0, "user", "m"), (-1, 0, "user", "n"), (None, 0, "user", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    sides = [chat.turns(df.filter(F.col("conv_id").bitwiseAND(1) == k), F.shiftright("conv_id", 1)) for k in (0, 1)]
+    got = {r.pair_id: r for r in chat.preferences(*sides).collect()}
+    assert set(got) == {big // 2, big // 2 + 1, -1}
+    assert got[big // 2].prompt == "<|im_start|>user\na<\\|im_end|>b<|im_end|>\n"
+    assert got[big // 2].chosen == "<|im_start|>assistant\nyes<|im_end|>\n"
+
+
+def test_spans_rows_of_one_id_and_null_ids(spark):
+    rng = random.Random(18)
+    say = lambda n: " ".join(words(rng, n, 10**6)).capitalize() + ". "
+    p, q, other = ("".join(say(12) for _ in range(3)) for _ in range(3))
+    x = say(9)
+    rows = [(1, p), (2, x + p), (2, other), (None, q + x), (None, q), (2, other), ((1 << 63) - 1, q)]
+    got = spans.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, p), (2, x), (2, other), (2, ""), (None, x), (None, ""), ((1 << 63) - 1, q)], key=str)
