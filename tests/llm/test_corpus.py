@@ -528,3 +528,32 @@ def test_spans_rows_of_one_id_and_null_ids(spark):
     rows = [(1, p), (2, x + p), (2, other), (None, q + x), (None, q), (2, other), ((1 << 63) - 1, q)]
     got = spans.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, p), (2, x), (2, other), (2, ""), (None, x), (None, ""), ((1 << 63) - 1, q)], key=str)
+
+
+def test_pipeline_run(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(19)
+    parts = ["ka", "to", "mi", "re", "schu", "ver"]
+    say = lambda n: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(n)).capitalize() + ". "
+    passage = "".join(say(13) for _ in range(5))
+    rows = [(i, "".join(say(10) for _ in range(8)), "en", f"s{i % 3}", 0) for i in range(60)]
+    rows += [(60, rows[0][1], "en", "s0", 0), (None, rows[1][1] + passage, None, None, None), (None, passage + say(20), "en", "s1", 0), (7, say(40), "en", "s1", 0), (61, None, "en", "s1", 0), (62, "1 2 3", "en", "s1", 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in out}
+    assert not ids & {60, 61, 62} and all(r.n_tokens > 0 for r in out)
+    ref = Tokenizer.from_file(PATH)
+    known = {hashlib.sha256(np.array(ref.encode(t, add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for _, t, *_ in rows if t}
+    assert {r.ids_sha256 for r in out if r.doc_id in range(1, 60) and r.doc_id != 7} <= known
+    docs = spark.createDataFrame([], DOCS)
+    docs.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_target_mix_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(5, f"a{i} b", "en", "s", 4) for i in range(40)] + [(None, None, None, None, None)], DOCS)
+    out = corpus_pipeline.target_mix(spark, docs, "").collect()
+    assert len(out) == 40 and len({r.text for r in out}) == 40
