@@ -82,7 +82,7 @@ def _scales(scratch: Scratch, rows: DataFrame, goal: DataFrame, cap: float) -> D
     importance; that can bring others to the cap, so it is done again until none is.
     """
     now = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("importance")).alias("loose")).alias("s")
-    now = now.join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("g.*", (F.col("target") / F.col("loose")).alias("scale"), F.lit(0).cast("long").alias("at_cap"))
+    now = now.join(goal.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("g.*", F.when(F.col("loose") > 0, F.col("target") / F.col("loose")).otherwise(0.0).alias("scale"), F.lit(0).cast("long").alias("at_cap"))
     now, k = scratch.save(now, "scales-0"), 0
     while True:
         known = rows.alias("r").join(now.alias("n"), F.col("r.source").eqNullSafe(F.col("n.source"))).select("n.source", "r.size", "r.importance", "n.scale")
@@ -139,7 +139,7 @@ def mix(
     )
     slim = scratch.save(slim, "sizes")  # the texts are read once
     goal = scratch.save(targets(slim, "source", cap), "targets")
-    scale = F.col("target") / F.col("source_size")
+    scale = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     if importance:
         goal, scale = _scales(scratch, slim, goal, cap), F.col("scale")
     rows = slim.alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source"))).select("d.*", *(f"g.{c}" for c in goal.columns if c != "source"))
@@ -148,7 +148,8 @@ def mix(
     rank = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     rows = rows.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), rank))
     # over the source's own odds ranks are spread evenly: as odds of a number between 0 and 1
-    part = F.col("target") / F.col("source_size") - F.floor(F.col("target") / F.col("source_size"))
+    even = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
+    part = even - F.floor(even)
     odds = F.col("rank") * F.when((part > 0) & (part < 1), part / (1 - part)).otherwise(1.0)
     place = odds / (1 + odds) * CELLS
     rows = rows.withColumn("cell", F.least(F.lit(CELLS - 1), F.floor(place)).cast("int"))
