@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 6 << 20
 
 
+_made: list["Scratch"] = []
+
+
 class Scratch:
     """Written tables in the folder that the cluster names in ``spark.checkpoint.dir``.
 
@@ -30,16 +33,17 @@ class Scratch:
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = tempfile.gettempdir() + "/emberlog-checkpoints"
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later plan reads."""
+    def drop(self, name: str = "") -> None:
+        """Delete a table, or without a name all of them, when no later plan reads it."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
@@ -48,6 +52,14 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def sweep(kept: Scratch) -> None:
+    """Delete the tables of all scratch folders made since ``kept``: what they led to is written."""
+    at = _made.index(kept) + 1
+    for scratch in _made[at:]:
+        scratch.drop()
+    del _made[at:]
+
+
 _held: dict[tuple, object] = {}
 
 

@@ -156,4 +156,5 @@ def dedup(
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
 
-    return docs.join(cuts, "_span_row", "left").select(*names, "_cuts").mapInArrow(cut, schema)
+    # the texts move once, at any size of the table
+    return docs.join(cuts.hint("shuffle_hash"), "_span_row", "left").select(*names, "_cuts").mapInArrow(cut, schema)
