@@ -15,6 +15,21 @@ UNRESOLVED_APPS = ["unknown", "incomplete", "not-applicable", "unknown-tcp"]
 UNANSWERED_APPS = ["incomplete", "insufficient-data", "not-applicable"]
 SEVERITIES = [(30, "Low"), (60, "Medium"), (80, "High"), (100, "Critical")]
 
+# What names an attack, malware, risky applications and file sharing.
+MALWARE_SUBTYPES = ["virus", "wildfire-virus", "spyware"]
+MALWARE_CATEGORIES = ["command-and-control", "backdoor", "botnet"]
+INFORMATIONAL = ["informational", "info"]
+SUSPICIOUS_TRAITS = ["used-by-malware", "evasive-behavior", "prone-to-misuse", "able-to-transfer-file", "consume-big-bandwidth"]
+HIGH_SIGNAL_TRAITS = ["used-by-malware", "evasive-behavior"]
+SUBTYPE_ATTACKS = {"scan": "port_scan", "flood": "dos_ddos", "data": "data_exfiltration_suspicion", "virus": "malware_c2", "wildfire-virus": "malware_c2", "spyware": "malware_c2"}
+ANOMALY_WORDS = ["non-rfc compliant"]
+DISCOVERY_WORDS = ["nmap", "port scan", "portmapper", "discovery", "enumeration", "sweep"]
+GUESSING_WORDS = ["brute force", "brute-force", "login attempt"]
+EXPLOIT_WORDS = ["code execution", "injection", "traversal", "overflow", "exploit", "deserialization", "file inclusion", "scanning attempt", "privilege escalation", "authentication bypass"]
+EXPLOIT_SEVERITIES = ["medium", "high", "critical"]
+DNS_NTP_PORTS = [53, 123]
+UNKNOWN_APPS = ["unknown", "unknown-tcp", "unknown-udp", "incomplete"]
+
 #: Blocks of addresses that are private in the sense of the language's address library.
 PRIVATE_BLOCKS = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4"]
 SHARED_BLOCKS = ["100.64.0.0/10"]
@@ -111,3 +126,103 @@ def hash_part(key: str | Column, salt: str, parts: int = 10) -> Column:
     """A part number from the first byte of a salted digest."""
     digest = F.sha2(F.concat(F.lit(salt + ":"), col(key).cast("string")), 256)
     return F.conv(F.substring(digest, 1, 2), 16, 10).cast("int") % parts
+
+
+def lookup(values: dict, key: Column, default=None) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for p in values.items() for x in p])[key], F.lit(default))
+
+
+def is_malware() -> Column:
+    return lowered("subtype").isin(MALWARE_SUBTYPES) | lowered("category").isin(MALWARE_CATEGORIES)
+
+
+def names_one(text: Column, words: list[str]) -> Column:
+    """Whether a lower-case text holds one of the words."""
+    found = F.lit(False)
+    for w in words:
+        found = found | text.contains(w)
+    return found
+
+
+def threat_attack_type(kind: str | Column = "subtype", name: str | Column = "threat_name", rated: str | Column = "threat_severity") -> Column:
+    """The activity that a threat record names, by its type, then its signature, then its severity."""
+    k, n = lowered(kind), lowered(name)
+    exploit = names_one(n, EXPLOIT_WORDS) | lowered(rated).isin(EXPLOIT_SEVERITIES)
+    by_name = F.when(names_one(n, ANOMALY_WORDS), "unknown_anomaly").when(names_one(n, DISCOVERY_WORDS), "port_scan").when(names_one(n, GUESSING_WORDS), "brute_force").when(exploit, "exploit_attempt")
+    return F.coalesce(lookup(SUBTYPE_ATTACKS, k), F.when(k == "vulnerability", by_name), F.lit("unknown_anomaly"))
+
+
+def is_informational() -> Column:
+    """A threat record rated informational that names no attack and no malware."""
+    return (F.upper("log_type") == "THREAT") & ~is_malware() & lowered("threat_severity").isin(INFORMATIONAL) & (threat_attack_type() == "unknown_anomaly")
+
+
+def traits(characteristic: str | Column = "app_characteristic") -> Column:
+    """Application characteristics as a sorted set of trimmed lower-case words."""
+    parts = F.transform(F.split(F.coalesce(col(characteristic), F.lit("")), ","), lambda x: F.lower(F.trim(x)))
+    return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
+
+
+def risky_traits(listed: list[str]) -> Column:
+    return F.array_sort(F.array_intersect(traits(), F.array(*map(F.lit, listed))))
+
+
+def is_file_sharing() -> Column:
+    """Peer-to-peer file sharing, not calls, which are of the same technology."""
+    return (lowered("app_technology") == "peer-to-peer") & (lowered("app_subcategory") == "file-sharing")
+
+
+def is_ftp_data() -> Column:
+    """A server's active-mode connection back from port 20 to a high port."""
+    return F.coalesce((F.col("src_port") == 20) & lowered("app").startswith("ftp") & (F.col("dst_port") >= 1024), F.lit(False))
+
+
+def from_internet() -> Column:
+    return F.col("inbound") & ~is_private("src_ip")
+
+
+def answered(packets: str = "packets_received", reason: str = "session_end_reason") -> Column:
+    """Something came back, other than one reset."""
+    back = F.coalesce(col(packets), F.lit(0))
+    return (back > 0) & ~((back == 1) & (F.coalesce(col(reason), F.lit("")) == "tcp-rst-from-server"))
+
+
+def outbound_bytes() -> Column:
+    """Bytes sent, or all bytes where those are not known."""
+    return F.coalesce(F.col("bytes_sent"), F.col("bytes"))
+
+
+def is_notable() -> Column:
+    """Worth a second look by the firewall's fields alone."""
+    return lowered("action").rlike("^(deny|drop|reset)") | (F.coalesce(F.col("app_risk"), F.lit(0)) >= 4) | F.lower(F.coalesce(F.col("app"), F.lit(""))).isin(UNKNOWN_APPS) | (F.upper(F.coalesce(F.col("log_type"), F.lit(""))) == "THREAT")
+
+
+def is_risky() -> Column:
+    """Taken into reviews: risky or unidentified applications and denials."""
+    return F.coalesce(F.col("app_risk") >= 4, F.lit(False)) | F.coalesce(F.col("action").isin("deny", "drop", "reset-both", "reset-client", "reset-server"), F.lit(False)) | F.coalesce(F.col("app").isin(UNKNOWN_APPS), F.lit(False))
+
+
+def is_baseline() -> Column:
+    """Fit for a baseline: allowed, of low or unknown risk, of a known application."""
+    return (lowered("action") == "allow") & (F.coalesce(F.col("app_risk"), F.lit(0)) <= 3) & ~lowered("app").isin(*UNRESOLVED_APPS, "unknown-udp", "")
+
+
+def application_state(log_type: str = "log_type", app: str = "app") -> Column:
+    """Whether a record names its application: identified, unresolved, absent or not_applicable."""
+    a = lowered(app)
+    unresolved = ["incomplete", "insufficient-data", "unknown", "unknown-tcp", "unknown-udp", "unknown-p2p"]
+    return F.when(~F.upper(F.trim(F.coalesce(col(log_type), F.lit("")))).isin("TRAFFIC", "THREAT"), "not_applicable").when(a.isin(unresolved), "unresolved").when(a.isin("", "not-applicable"), "absent").otherwise("identified")
+
+
+def sampling_score() -> Column:
+    """Points by which logs are drawn for review."""
+    act, risk = F.lower(F.coalesce(F.col("action"), F.lit(""))), F.coalesce(F.col("app_risk"), F.lit(0))
+    denial = F.when(act.contains("deny") | act.contains("drop") | act.contains("reset"), 30).otherwise(0)
+    unknown = F.when(F.lower(F.coalesce(F.col("app"), F.lit(""))).isin(UNKNOWN_APPS), 15).otherwise(0)
+    return F.least(denial + F.when(risk >= 5, 25).when(risk >= 4, 15).otherwise(0) + unknown, F.lit(100))
+
+
+def hybrid_risk(rule: Column, isolation: Column, supervised: Column, asset: Column) -> Column:
+    """Weighted risk of four parts, each between 0 and 100: rules, isolation, a model's probability, the asset."""
+    part = lambda x: clamped(F.coalesce(x.cast("double"), F.lit(0.0)))
+    return F.bround(part(rule) * 0.55 + part(isolation) * 0.20 + part(supervised * 100.0) * 0.20 + part(asset) * 0.05, 2)

@@ -34,6 +34,10 @@ class Config:
     low_evidence: int = 5
 
 
+#: Columns that rules read and a log table may lack.
+OPTIONAL = {"threat_name": "string", "category": "string", "app_category": "string", "app_technology": "string", "app_subcategory": "string", "app_characteristic": "string", "bytes": "long", "packets_received": "long", "session_end_reason": "string", "src_port": "int", "protocol": "string"}
+
+
 def prepared(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Logs with the columns that correlation and rules share."""
     facts = {
@@ -43,8 +47,8 @@ def prepared(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
         "inbound": P.inbound(),
         "outbound": P.outbound(),
     }
-    out = logs.withColumns(facts)
-    return out.withColumn("large", F.coalesce((F.col("bytes_sent") > cfg.byte_threshold) & F.col("outbound"), F.lit(False)))
+    out = logs.withColumns({n: F.lit(None).cast(kind) for n, kind in OPTIONAL.items() if n not in logs.columns}).withColumns(facts)
+    return out.withColumn("large", F.coalesce((P.outbound_bytes() > cfg.byte_threshold) & F.col("outbound"), F.lit(False)))
 
 
 def window_start(us: Column, length: int, offset: int = 0) -> Column:

@@ -66,29 +66,33 @@ spans AS (SELECT source_id, src_ip, dst_ip, dst_port, bucket, sum(n)::BIGINT AS
 cad AS (SELECT log_id, beacon_events, beacon_repeats, intervals, mean_seconds, CASE WHEN mean_seconds > 0 THEN spread / mean_seconds END AS jitter
   FROM logs JOIN spans s ON s.source_id = logs.source_id AND s.src_ip = logs.src_ip AND s.dst_ip = logs.dst_ip AND s.dst_port = logs.dst_port AND s.bucket = us - us % 86400000000)"""
 
-_rated = "CASE threat_severity WHEN 'low' THEN 20 WHEN 'high' THEN 40 ELSE 30 END"
+_rated = "CASE threat_severity WHEN 'informational' THEN 10 WHEN 'low' THEN 20 WHEN 'high' THEN 40 ELSE 30 END"
+_malware = "(subtype = 'spyware' OR category = 'command-and-control')"
+_informational = f"(log_type = 'THREAT' AND NOT {_malware} AND threat_severity = 'informational')"
 _odd = "dst_port >= 20000"
 _unresolved = "app IN ('unknown', 'incomplete', 'not-applicable', 'unknown-tcp')"
 #: (code, condition, score, priority) in order of evaluation.
 RULES_SQL = [
     ("deny_drop_action", "denied", "25", 80),
-    ("paloalto_malware_threat", "log_type = 'THREAT' AND subtype = 'spyware'", f"{_rated} + 10", 101),
-    ("paloalto_threat_log", "log_type = 'THREAT' AND subtype <> 'spyware'", _rated, 90),
+    ("paloalto_malware_threat", f"log_type = 'THREAT' AND {_malware}", f"{_rated} + 10", 101),
+    ("paloalto_threat_informational", _informational, _rated, 5),
+    ("paloalto_threat_log", f"log_type = 'THREAT' AND NOT {_malware} AND NOT {_informational}", _rated, 90),
     ("app_risk_4", "app_risk = 4", "15", 70),
     ("app_risk_5", "app_risk >= 5", "25", 75),
+    ("suspicious_app_characteristic", "app_characteristic IS NOT NULL", "15", 65),
     ("outside_to_inside", "inbound", "15", 40),
     ("repeated_source_ip", "source_count >= 10", "20", 60),
     ("multiple_denied_connections", "deny_count >= 5", "20", 95),
     ("brute_force_like_attempts", "login_target_denials >= 3", "30", 97),
     ("possible_port_scan", f"ports >= 4 AND (deny_count >= 5 OR inbound OR {_unresolved})", "25", 100),
     ("possible_horizontal_scan", f"hosts_for_port >= 3 AND (denials_for_port >= 5 OR inbound OR {_unresolved} OR dst_port IN (22, 135, 445, 3389, 5985, 5986, 5900))", "25", 99),
-    ("beaconing_like_outbound", f"beacon_repeats >= 3 AND beacon_events >= 3 AND intervals >= 2 AND mean_seconds BETWEEN 5 AND 86400 AND jitter <= 0.6 AND outbound AND ({_odd} OR {_unresolved} OR log_type = 'THREAT')", "30", 96),
+    ("beaconing_like_outbound", f"beacon_repeats >= 3 AND beacon_events >= 3 AND intervals >= 2 AND mean_seconds BETWEEN 5 AND 86400 AND jitter <= 0.6 AND outbound AND ({_odd} OR {_unresolved} OR log_type = 'THREAT' OR app_risk >= 5 AND app_characteristic IS NOT NULL)", "30", 96),
     ("connection_flood_suspicion", "dest_repeats >= 5 AND (inbound OR denied OR bytes_received <= 0 OR app IN ('incomplete', 'insufficient-data', 'not-applicable')) OR dest_repeats >= 3 AND denied", "35", 98),
     ("unusual_destination_port", f"{_odd} AND inbound", "10", 55),
     ("high_outbound_bytes", "bytes_sent > 8000 AND outbound", "35", 38),
     ("repeated_large_outbound", "bytes_sent > 8000 AND outbound AND large_to_host >= 2", "20", 37),
-    ("unknown_or_incomplete_app", _unresolved, "10", 50),
-    ("high_bytes_outlier", "NOT (bytes_sent > 8000 AND outbound) AND bytes_sent + bytes_received > 8000", "20", 35),
+    ("unknown_or_incomplete_app", f"{_unresolved} OR app_category = 'unknown'", "10", 50),
+    ("high_bytes_outlier", "NOT (bytes_sent > 8000 AND outbound) AND bytes > 8000", "20", 35),
     ("high_packets_outlier", "packets > 18", "20", 35),
 ]
 MATCHES_SQL = (
@@ -98,22 +102,29 @@ MATCHES_SQL = (
 )
 CANDIDATES_SQL = """
 scored AS (SELECT log_id, least(sum(points), 100)::INTEGER AS total FROM matches GROUP BY 1),
-leads AS (SELECT * FROM matches WHERE code NOT IN ('app_risk_4', 'repeated_source_ip', 'outside_to_inside', 'high_bytes_outlier', 'high_packets_outlier')
-  QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY priority DESC, points DESC, place) = 1),
-capped AS (SELECT leads.*, total, log_type = 'THREAT' AND denied AND inbound AND subtype <> 'spyware' AS capped FROM leads JOIN scored USING (log_id)),
-found AS (SELECT *, code AS primary_code, CASE WHEN capped THEN least(total, 30) ELSE total END AS score FROM capped WHERE total >= 30 OR capped)"""
+leads AS (SELECT * FROM matches WHERE code NOT IN ('app_risk_4', 'paloalto_threat_informational', 'suspicious_app_characteristic', 'repeated_source_ip', 'outside_to_inside', 'high_bytes_outlier', 'high_packets_outlier')),
+lead AS (SELECT * FROM leads QUALIFY row_number() OVER (PARTITION BY log_id ORDER BY priority DESC, points DESC, place) = 1),
+why AS (SELECT log_id, bool_or(code IN ('paloalto_threat_log', 'paloalto_malware_threat', 'brute_force_like_attempts', 'watchlist_match')) AS malice, bool_or(code = 'multiple_denied_connections') AS burst FROM leads GROUP BY 1),
+policy AS (SELECT lead.log_id, CASE WHEN app_technology = 'peer-to-peer' AND app_subcategory = 'file-sharing' AND NOT malice THEN 'file_sharing'
+    WHEN inbound AND (denied OR bytes_received <= 0 OR app IN ('incomplete', 'insufficient-data', 'not-applicable')) AND hosts <= 9 AND ports <= 4 AND source_count BETWEEN 1 AND 20 AND NOT malice AND NOT burst THEN 'background_probe' END AS policy
+  FROM lead JOIN why USING (log_id)),
+capped AS (SELECT lead.*, total, policy, CASE WHEN log_type = 'THREAT' AND denied AND inbound AND NOT (subtype = 'spyware' OR category = 'command-and-control') THEN CASE threat_severity WHEN 'high' THEN 80 ELSE 30 END END AS cap
+  FROM lead JOIN scored USING (log_id) JOIN policy USING (log_id)),
+found AS (SELECT * EXCLUDE (cap), cap IS NOT NULL AS capped, code AS primary_code, least(total, coalesce(cap, 100)) AS score FROM capped WHERE policy IS NULL AND least(total, coalesce(cap, 100)) >= 30)"""
 SEVERITY_SQL = "CASE WHEN score <= 30 THEN 'Low' WHEN score <= 60 THEN 'Medium' WHEN score <= 80 THEN 'High' ELSE 'Critical' END"
 CONTEXT_SQL = "('outside_to_inside', 'unusual_destination_port', 'unknown_or_incomplete_app')"
 GROUPS_SQL = f"""
-keyed AS (SELECT *, CASE WHEN primary_code IN {CONTEXT_SQL} AND inbound THEN 'multiple-internet-sources' ELSE src_ip END AS group_src,
+keyed AS (SELECT *, CASE WHEN primary_code IN {CONTEXT_SQL} AND inbound THEN 'multiple-internet-sources' WHEN primary_code IN ('app_risk_4', 'app_risk_5', 'suspicious_app_characteristic') AND NOT inbound THEN 'multiple-app-risk-sources' ELSE src_ip END AS group_src,
   CASE WHEN primary_code IN ('beaconing_like_outbound', 'connection_flood_suspicion') THEN dst_ip ELSE '' END AS group_dst,
+  CASE WHEN primary_code IN ('deny_drop_action', 'unusual_destination_port', 'brute_force_like_attempts', 'possible_horizontal_scan', 'beaconing_like_outbound', 'connection_flood_suspicion') THEN dst_port END AS group_port,
+  CASE WHEN primary_code IN ('paloalto_threat_log', 'paloalto_malware_threat', 'app_risk_4', 'app_risk_5', 'suspicious_app_characteristic', 'beaconing_like_outbound') THEN app END AS group_app,
   us - us % 86400000000 AS bucket, src_zone || '->' || dst_zone AS path FROM found),
-grouped AS (SELECT source_id, primary_code, group_src, group_dst, bucket, path, count(*) AS evidence, max(score) AS score, min(us) AS first_us, max(us) AS last_us,
+grouped AS (SELECT source_id, primary_code, group_src, group_dst, group_port, group_app, bucket, path, count(*) AS evidence, max(score) AS score, min(us) AS first_us, max(us) AS last_us,
   count(DISTINCT src_ip) AS sources, count(DISTINCT dst_ip) AS targets, count(DISTINCT dst_port) AS services, bool_or(capped) AS capped FROM keyed GROUP BY ALL),
 admitted AS (SELECT *, {SEVERITY_SQL} AS severity FROM grouped WHERE CASE WHEN primary_code IN {CONTEXT_SQL} THEN evidence >= 5 WHEN capped THEN true WHEN score <= 30 THEN evidence >= 5 ELSE true END)"""
 ISLANDS_SQL = f"""
-stretch AS (SELECT *, max(last_us) OVER (PARTITION BY source_id, primary_code, group_src, group_dst ORDER BY first_us, last_us, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM admitted),
-marked AS (SELECT *, sum(CASE WHEN reach IS NULL OR first_us > reach + 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, primary_code, group_src, group_dst ORDER BY first_us, last_us, path) AS island FROM stretch),
+stretch AS (SELECT *, max(last_us) OVER (PARTITION BY source_id, primary_code, group_src, group_dst ORDER BY first_us, last_us, path, group_port NULLS FIRST, group_app NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM admitted),
+marked AS (SELECT *, sum(CASE WHEN reach IS NULL OR first_us > reach + 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, primary_code, group_src, group_dst ORDER BY first_us, last_us, path, group_port NULLS FIRST, group_app NULLS FIRST ROWS UNBOUNDED PRECEDING) AS island FROM stretch),
 isles AS (SELECT source_id, primary_code, group_src, group_dst, island::BIGINT AS island, count(*) AS occurrences, sum(evidence)::BIGINT AS evidence, max(score) AS score, min(first_us) AS first_us, max(last_us) AS last_us FROM marked GROUP BY ALL)"""
 
 SNAP_COLUMNS = ["log_id", "window_grid", "window_start", "source_count", "deny_count", "ports", "hosts", "dest_repeats", "dest_events", "login_target_denials", "hosts_for_port", "denials_for_port", "large_to_host"]
@@ -149,6 +160,25 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.candidates(R.evaluate(logs(spark, sf_dir), CFG), CFG).select("log_id", F.col("primary").alias("primary_code"), "score", "severity")
 
 
+def policy_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = R.evaluate(logs(spark, sf_dir), CFG).filter(F.exists("matches", lambda m: ~m["code"].isin(R.SUPPORTING_ONLY)))
+    return matched.select(R.policy_only(matched).alias("policy")).groupBy("policy").agg(F.count("*").alias("logs"))
+
+
+def expected_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule volume when one inbound service is meant to be public."""
+    expected = spark.createDataFrame([("10.20.0.3", 22, "tcp"), ("10.20.0.7", 20007, "tcp")], "address string, port int, protocol string")
+    matched = R.without_expected(R.evaluate(logs(spark, sf_dir), CFG), expected)
+    return matched.select(F.explode("matches.code").alias("code")).groupBy("code").agg(F.count("*").alias("logs"))
+
+
+def watchlist_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = R.evaluate(logs(spark, sf_dir), CFG)
+    hits = matched.filter("src_ip like '45.33.%5'").select("log_id", F.lit(45).alias("boost"))
+    found = R.candidates(R.with_watchlist(matched, hits), CFG)
+    return found.groupBy(F.col("primary").alias("primary_code")).agg(F.count("*").alias("logs"), F.sum("score").alias("points"))
+
+
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.groups(R.candidates(R.evaluate(logs(spark, sf_dir), CFG), CFG), CFG)
 
@@ -171,7 +201,7 @@ def top_denied_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.filter("denials > 0").withColumn("score", score).withColumn("severity", P.severity("score")).orderBy(F.desc("denials"), "src_ip", "source_id").limit(25)
 
 
-QUERIES = {f.__name__: f for f in (top_denied_sources, correlation_window, cadence, rule_matches, rule_volume, candidates, alert_groups, alert_islands)}
+QUERIES = {f.__name__: f for f in (top_denied_sources, correlation_window, cadence, rule_matches, rule_volume, candidates, policy_skips, expected_services, watchlist_candidates, alert_groups, alert_islands)}
 
 ORACLE = {
     "top_denied_sources": f"""{_with(LOGS_SQL)},
@@ -183,6 +213,12 @@ SELECT *, {SEVERITY_SQL} AS severity FROM s ORDER BY denials DESC, src_ip, sourc
     "rule_matches": f"{_with(*_facts)} SELECT log_id, code, points::INTEGER AS points FROM matches",
     "rule_volume": f"{_with(*_facts)} SELECT code, count(*) AS logs, max(points)::INTEGER AS max_points, count(DISTINCT src_ip) AS sources FROM matches GROUP BY 1",
     "candidates": f"{_with(*_facts, CANDIDATES_SQL)} SELECT log_id, primary_code, score, {SEVERITY_SQL} AS severity FROM found",
+    "policy_skips": f"{_with(*_facts, CANDIDATES_SQL)} SELECT policy, count(*) AS logs FROM policy GROUP BY 1",
+    "expected_services": f"""{_with(*_facts)}, e AS (SELECT *, (dst_ip = '10.20.0.3' AND dst_port = 22 OR dst_ip = '10.20.0.7' AND dst_port = 20007) AS expected,
+  bool_or(code NOT IN {CONTEXT_SQL} AND code NOT IN ('app_risk_4', 'paloalto_threat_informational', 'suspicious_app_characteristic', 'repeated_source_ip', 'outside_to_inside', 'high_bytes_outlier', 'high_packets_outlier')) OVER (PARTITION BY log_id) AS flags FROM matches)
+SELECT code, count(*) AS logs FROM e WHERE NOT (expected AND NOT flags AND code IN {CONTEXT_SQL}) GROUP BY 1""",
+    "watchlist_candidates": f"""{_with(*_facts).replace("matches AS (", "matches AS (SELECT *, 'watchlist_match' AS code, 45 AS points, 88 AS priority, 99 AS place FROM facts WHERE src_ip LIKE '45.33.%5' UNION ALL ", 1)},{CANDIDATES_SQL.strip()}
+SELECT primary_code, count(*) AS logs, sum(score)::BIGINT AS points FROM found GROUP BY 1""",
     "alert_groups": f"{_with(*_to_groups)} SELECT * EXCLUDE (capped) FROM admitted",
     "alert_islands": f"{_with(*_to_groups, ISLANDS_SQL)} SELECT *, {SEVERITY_SQL} AS severity FROM isles",
 }

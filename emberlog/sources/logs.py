@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Signature names of the view's threat records.
+THREAT_NAMES = ["Non-RFC Compliant SSL Traffic", "Nmap Scan Detected", "SSH Login Attempt", "HTTP SQL Injection", "Odd Header", "Sweep of hosts", "Apache Code Execution"]
+
 EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
@@ -41,7 +44,15 @@ def from_events(events: DataFrame) -> DataFrame:
         F.col("ts").alias("generated_time"),
         F.when(k == 0, "THREAT").otherwise("TRAFFIC").alias("log_type"),
         F.when(k == 0, F.when(error, "spyware").otherwise("vulnerability")).otherwise("end").alias("subtype"),
-        F.when(k == 0, F.when(inbound, "low").otherwise("high")).alias("threat_severity"),
+        F.when(k == 0, F.when(user % 7 == 0, "informational").when(inbound, "low").otherwise("high")).alias("threat_severity"),
+        F.when(k == 0, F.get(F.array(*[F.lit(n) for n in THREAT_NAMES]), (user % 7).cast("int"))).alias("threat_name"),
+        F.when((k == 0) & (user % 11 == 0), "command-and-control").otherwise("any").alias("category"),
+        F.when(k % 9 == 0, "unknown").otherwise("general-internet").alias("app_category"),
+        F.when(k % 10 == 3, "peer-to-peer").when(k % 10 == 4, "peer-to-peer").otherwise("browser-based").alias("app_technology"),
+        F.when(k % 10 == 3, "file-sharing").when(k % 10 == 4, "internet-conferencing").otherwise("internet-utility").alias("app_subcategory"),
+        F.when(k % 6 == 0, "used-by-malware, tunnels-other-application").when(k % 6 == 1, " Evasive-Behavior,able-to-transfer-file").alias("app_characteristic"),
+        (k % 3).cast("long").alias("packets_received"),
+        F.when(k % 4 == 0, "tcp-rst-from-server").otherwise("aged-out").alias("session_end_reason"),
         src.alias("src_ip"),
         dst.alias("dst_ip"),
         F.get(ports, k % 8).cast("int").alias("dst_port"),
@@ -51,6 +62,7 @@ def from_events(events: DataFrame) -> DataFrame:
         F.when(error, "deny").otherwise("allow").alias("action"),
         pick({"click": "ssl", "view": "web-browsing", "purchase": "incomplete", "signup": "unknown-tcp", "error": "incomplete"}, "unknown").alias("app"),
         (k % 5 + 1).cast("int").alias("app_risk"),
+        (F.floor(F.col("value") * 100 + 0.5) + F.when(error, F.lit(0)).otherwise(F.floor(F.col("value") * 10))).cast("long").alias("bytes"),
         F.floor(F.col("value") * 100 + 0.5).cast("long").alias("bytes_sent"),
         F.when(error, F.lit(0)).otherwise(F.floor(F.col("value") * 10)).cast("long").alias("bytes_received"),
         (k % 20 + 1).cast("long").alias("packets"),
@@ -66,7 +78,15 @@ raw AS (SELECT *, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0
 logs AS (SELECT event_id AS log_id, CAST(user_id % 3 AS INTEGER) AS source_id, ts AS generated_time,
   CASE WHEN k = 0 THEN 'THREAT' ELSE 'TRAFFIC' END AS log_type,
   CASE WHEN k = 0 THEN CASE WHEN event_type = 'error' THEN 'spyware' ELSE 'vulnerability' END ELSE 'end' END AS subtype,
-  CASE WHEN k = 0 THEN CASE WHEN user_id % 5 = 0 THEN 'low' ELSE 'high' END END AS threat_severity,
+  CASE WHEN k = 0 THEN CASE WHEN user_id % 7 = 0 THEN 'informational' WHEN user_id % 5 = 0 THEN 'low' ELSE 'high' END END AS threat_severity,
+  CASE WHEN k = 0 THEN (['Non-RFC Compliant SSL Traffic', 'Nmap Scan Detected', 'SSH Login Attempt', 'HTTP SQL Injection', 'Odd Header', 'Sweep of hosts', 'Apache Code Execution'])[user_id % 7 + 1] END AS threat_name,
+  CASE WHEN k = 0 AND user_id % 11 = 0 THEN 'command-and-control' ELSE 'any' END AS category,
+  CASE WHEN k % 9 = 0 THEN 'unknown' ELSE 'general-internet' END AS app_category,
+  CASE WHEN k % 10 IN (3, 4) THEN 'peer-to-peer' ELSE 'browser-based' END AS app_technology,
+  CASE k % 10 WHEN 3 THEN 'file-sharing' WHEN 4 THEN 'internet-conferencing' ELSE 'internet-utility' END AS app_subcategory,
+  CASE k % 6 WHEN 0 THEN 'used-by-malware, tunnels-other-application' WHEN 1 THEN ' Evasive-Behavior,able-to-transfer-file' END AS app_characteristic,
+  CAST(k % 3 AS BIGINT) AS packets_received, CASE WHEN k % 4 = 0 THEN 'tcp-rst-from-server' ELSE 'aged-out' END AS session_end_reason,
+  CAST(floor(value * 100 + 0.5::DOUBLE) + CASE WHEN event_type = 'error' THEN 0 ELSE floor(value * 10) END AS BIGINT) AS bytes,
   (CASE WHEN user_id % 5 = 0 THEN '45.33.' ELSE '10.1.' END) || (user_id // 256) || '.' || (user_id % 256) AS src_ip,
   (CASE WHEN user_id % 5 = 0 THEN '10.20.0.' ELSE '142.250.0.' END) || (k % 16) AS dst_ip,
   CAST(([443, 80, 53, 22, 3389, 445, 8443, 20000 + k])[k % 8 + 1] AS INTEGER) AS dst_port,
