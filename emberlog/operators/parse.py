@@ -19,16 +19,20 @@ TIMES = {"receive_time", "generated_time", "start_time"}
 INTEGERS = {"repeat_count", "src_port", "dst_port", "elapsed_time"}
 LONGS = {"bytes", "bytes_sent", "bytes_received", "packets", "packets_sent", "packets_received"}
 ADDRESSES = ["src_ip", "dst_ip", "nat_src_ip", "nat_dst_ip"]
-#: Commas outside of quotes.
-COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# Field counts of known layouts, and how far from a line's last ISO time the application's fields begin.
+KNOWN_FIELDS = {"TRAFFIC": [115], "THREAT": [121], "SYSTEM": [26]}
+AFTER_ANCHOR = {"TRAFFIC": 3, "THREAT": 4}
+APPLICATION = ["app_subcategory", "app_category", "app_technology", "app_risk", "app_characteristic"]
+#: A field up to its comma: quoted, with what follows the quote, or bare.  Nothing is tried twice.
+FIELD = r'("[^"]*+"(?:"[^"]*+")*+[^,]*+|[^,]*+),'
 #: Version 6 addresses in full or with one run of zeros left out, optionally ending in version 4.
 V6 = r"^(?=.*:.*:)(?!.*:::)(?!.*::.*::)(?:[0-9A-Fa-f]{1,4}|:)(?::?(?:[0-9A-Fa-f]{0,4}))*(?::(?:\d{1,3}\.){3}\d{1,3})?$"
 
 
 def fields(payload: Column) -> Column:
-    """Fields of a line of comma-separated values; quotes around a field go, doubled ones are one."""
-    unquoted = lambda x: F.when(x.rlike(r'^\s*".*"\s*$'), F.regexp_replace(F.regexp_extract(x, r'^\s*"(.*)"\s*$', 1), '""', '"')).otherwise(x)
-    return F.transform(F.split(payload, COMMA, -1), unquoted)
+    """Fields of a line of comma-separated values in one pass; quotes around a field go, doubled ones are one."""
+    unquoted = lambda x: F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, r'^"((?:[^"]*+(?:"")?+)*+)"', "$1"), '""', '"')).otherwise(x)
+    return F.transform(F.regexp_extract_all(F.concat(payload, F.lit(",")), F.lit(FIELD), F.lit(1)), unquoted)
 
 
 def is_address(c: Column) -> Column:
@@ -46,43 +50,121 @@ def _field(name: str, at: int) -> Column:
     return raw
 
 
-def parse(lines: DataFrame, raw: str = "raw_line") -> DataFrame:
+def _application(kind: Column) -> tuple[Column, Column]:
+    """The application's fields (a struct of APPLICATION) and how they were found.
+
+    They follow the line's last ISO time, by type or as older releases wrote them; a risk
+    from 1 to 5 tells the right place.  Else they are counted from the line's end, if it is
+    not cut off.
+    """
+    text = lambda at: F.nullif(F.trim(F.get("_f", at)), F.lit(""))
+    risk = lambda at: text(at).try_cast("int")
+
+    def made(at: Column, checked: bool) -> Column:
+        r = risk(at + 3)
+        parts = [text(at), text(at + 1), text(at + 2), r if checked else F.when(r.between(1, 5), r), text(at + 4)]
+        return F.struct(*[p.alias(n) for p, n in zip(parts, APPLICATION, strict=True)])
+
+    anchor = F.col("_anchor")
+    named = F.when(kind == "TRAFFIC", anchor + AFTER_ANCHOR["TRAFFIC"]).when(kind == "THREAT", anchor + AFTER_ANCHOR["THREAT"])
+    least = P.lookup(MINIMUM_FIELDS, kind)
+    has = kind.isin(*AFTER_ANCHOR)
+    by_type, older, whole = has & risk(named + 3).between(1, 5), has & risk(anchor + 4).between(1, 5), has & (F.size("_f") >= least)
+    # without a match the fields from the end count
+    found = F.when(by_type, made(named, True)).when(older, made(anchor + 1, True)).when(whole, made(F.size("_f") - 10, False))
+    how = F.when(by_type, "anchor").when(older, "anchor_older").when(whole, "from_end").when(has, "unresolved").otherwise("not_applicable")
+    return found, how
+
+
+def parse(lines: DataFrame, raw: str = "raw_line", profile: str = "firewall") -> DataFrame:
     """Lines (a column ``raw``, others kept) as log columns with a parse status.
 
     A line is a time, a host and a payload of comma-separated values.  Status is
     ``error`` (not three parts; the row stays as evidence with empty columns),
     ``unsupported`` (a log type without a contract: shared columns only), ``partial``
     (too few fields or a required one missing) or ``parsed``.  Addresses and ports that
-    cannot be are dropped and named in ``invalid_fields``.  Blank lines give no row.
+    cannot be are dropped and named in ``invalid_fields``; blank lines give no row.
+    ``layout`` tells whether the number of fields is known, ``app_source`` where the
+    application's fields were found and ``app_state`` whether it is identified.  With the
+    profile ``syslog`` the payload stays a message, with ``raw`` the line is evidence only.
     """
     parts = r"^\s*(\S+)\s+(\S+)\s+(.*?)\s*$"
     rows = lines.filter(F.coalesce(F.trim(raw), F.lit("")) != "")
     good = F.col(raw).rlike(parts)
-    rows = rows.withColumns({"syslog_time": F.when(good, F.regexp_extract(raw, parts, 1)), "syslog_host": F.when(good, F.regexp_extract(raw, parts, 2)), "_f": F.when(good, fields(F.regexp_extract(raw, parts, 3)))})
+    split = {"syslog_time": F.when(good, F.regexp_extract(raw, parts, 1)), "syslog_host": F.when(good, F.regexp_extract(raw, parts, 2)), "raw_line_hash": F.sha2(raw, 256)}
+    if profile == "syslog":
+        return rows.withColumns(split | {"message": F.when(good, F.regexp_extract(raw, parts, 3)), "parse_status": F.when(good, "preserved").otherwise("error")})
+    if profile == "raw":
+        return rows.withColumns(split | {"parse_status": F.lit("fallback")})
+    rows = rows.withColumns(split | {"_f": F.when(good, fields(F.regexp_extract(raw, parts, 3)))})
+    times = F.transform("_f", lambda x, i: F.when(F.trim(x).rlike(r"^\d{4}-\d{2}-\d{2}T"), i))
+    rows = rows.withColumn("_anchor", F.array_max(times))
     kind = F.upper(F.trim(F.get("_f", F.lit(3))))
     out = {}
     for name in dict.fromkeys([*SHARED, *TRAFFIC, *THREAT]):
         at = [F.when(kind == k, _field(name, table[name])) for k, table in (("TRAFFIC", TRAFFIC), ("THREAT", THREAT)) if name in table]
         out[name] = _field(name, SHARED[name]) if name in SHARED else F.coalesce(*at)
-    rows = rows.withColumns(out).withColumn("field_count", F.size("_f")).withColumn("raw_line_hash", F.sha2(raw, 256))
-    bad = {c: F.col(c).isNotNull() & ~is_address(F.col(c)) for c in ADDRESSES} | {c: ~F.col(c).between(0, 65535) for c in ("src_port", "dst_port")}
+    # system records have a layout of their own
+    for name in set(SHARED) - {"receive_time", "serial", "log_type", "subtype", "generated_time"}:
+        out[name] = F.when(kind == "SYSTEM", _field(name, 7) if name == "vsys" else F.lit(None)).otherwise(out[name])
+    app, source = _application(kind)
+    rows = rows.withColumns(out).withColumns({"field_count": F.size("_f"), "_app": app, "app_source": F.when(F.col("_f").isNotNull(), source)})
+    rows = rows.withColumns({n: F.col("_app")[n] for n in APPLICATION}).withColumn("app_state", F.when(F.col("_f").isNotNull(), P.application_state()))
+    ports = {c: F.nullif(F.trim(F.get("_f", F.lit(SHARED[c]))), F.lit("")) for c in ("src_port", "dst_port")}
+    bad = {c: F.col(c).isNotNull() & ~is_address(F.col(c)) for c in ADDRESSES}
+    bad |= {c: (kind != "SYSTEM") & raw_port.isNotNull() & ~F.coalesce(F.col(c).between(0, 65535), F.lit(False)) for c, raw_port in ports.items()}
     rows = rows.withColumn("invalid_fields", F.array_compact(F.array(*[F.when(cond, F.lit(c)) for c, cond in bad.items()])))
     rows = rows.withColumns({c: F.when(~F.array_contains("invalid_fields", c), F.col(c)) for c in bad})
     need = F.lit(None).cast("array<string>")
     for k, names in REQUIRED.items():
         need = F.when(F.col("log_type") == k, F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in names]))).otherwise(need)
-    least = F.create_map(*[F.lit(x) for p in MINIMUM_FIELDS.items() for x in p])[F.col("log_type")]
-    rows = rows.withColumn("missing_fields", F.coalesce(need, F.array().cast("array<string>")))
-    status = F.when(F.col("_f").isNull(), "error").when(least.isNull(), "unsupported").when((F.col("field_count") < least) | (F.size("missing_fields") > 0), "partial").otherwise("parsed")
-    return rows.withColumn("parse_status", status).drop("_f")
-
-
-def new_lines(parsed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    least = P.lookup(MINIMUM_FIELDS, F.col("log_type"))
+    known = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for p in KNOWN_FIELDS.items() for x in p])[F.col("log_type")]
+    n = F.col("field_count")
+    layout = F.when(F.col("log_type").isNull(), "missing_log_type").when(least.isNull(), "unsupported_log_type").when(n < least, "partial").when(F.array_contains(known, n), "known").when(n > F.array_max(known), "extended").otherwise("compatible")
+    rows = rows.withColumn("missing_fields", F.coalesce(need, F.array().cast("array<string>"))).withColumn("layout", F.when(F.col("_f").isNotNull(), layout))
+    status = F.when(F.col("_f").isNull(), "error").when(least.isNull(), "unsupported").when((n < least) | (F.size("missing_fields") > 0), "partial").otherwise("parsed")
+    rows = rows.withColumn("parse_status", status).drop("_f", "_anchor", "_app")
+    # a generator keeps filters on the results from being worked out again below, field by field
+    made = [c for c in rows.columns if c not in lines.columns]
+    return rows.select(*lines.columns, F.inline(F.array(F.struct(*made))))
+
+
+def quality(parsed: DataFrame, by: list[str]) -> DataFrame:
+    """Counters of parsing for each value of ``by``: states, dropped values, missing fields, layouts."""
+    rate = lambda part: P.percent(part, F.count("*"))
+    return parsed.groupBy(*by).agg(
+        F.count("*").alias("lines"),
+        *[F.count_if(F.col("parse_status") == s).alias(s) for s in ("parsed", "partial", "unsupported", "error")],
+        F.count_if(F.size("invalid_fields") > 0).alias("with_invalid"),
+        F.sum(F.size("missing_fields")).alias("missing"),
+        F.count_if(F.col("app_state") == "unresolved").alias("unresolved_app"),
+        F.count_if(F.col("layout").isin("extended", "compatible")).alias("other_layout"),
+        rate(F.count_if(F.col("parse_status") == "parsed")).alias("parsed_percent"),
+        rate(F.count_if(F.col("app_state") == "unresolved")).alias("unresolved_percent"),
+    )
+
+
+def new_lines(parsed: DataFrame, stored: DataFrame | None = None, order: str | None = None) -> DataFrame:
     """Parsed lines without exact repeats, in the batch or among ``stored`` (raw_line_hash).
 
-    Lines that are not parsed are kept, repeats too, as evidence.
+    Of equal lines that of the smallest ``order``, a key, stays, or any if none is named.  Lines
+    that are not parsed are kept, repeats too, as evidence.
     """
-    other, first = parsed.filter("parse_status <> 'parsed'"), parsed.filter("parse_status = 'parsed'").dropDuplicates(["raw_line_hash"])
+    whole = F.coalesce(F.col("parse_status") == "parsed", F.lit(False))
+    other, first = parsed.filter(~whole), parsed.filter(whole)
+    if order:
+        keep = first.groupBy("raw_line_hash").agg(F.min(order).alias(order))
+        first = first.join(keep, ["raw_line_hash", order], "left_semi").select(other.columns)
+    else:
+        first = first.dropDuplicates(["raw_line_hash"])
     if stored is not None:
         first = first.join(stored.select("raw_line_hash"), "raw_line_hash", "left_anti").select(other.columns)
     return first.unionByName(other)
+
+
+def import_counts(parsed: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row: lines read, kept, repeats left out, and lines that could not be parsed."""
+    both = parsed.select("parse_status", F.lit(0).alias("k")).union(kept.select("parse_status", F.lit(1).alias("k")))
+    found = both.agg(F.count_if(F.col("k") == 0).alias("read"), F.count_if(F.col("k") == 1).alias("kept"), F.count_if((F.col("k") == 0) & (F.col("parse_status") == "error")).alias("failed"))
+    return found.select("read", "kept", (F.col("read") - F.col("kept")).alias("repeats"), "failed")

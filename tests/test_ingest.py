@@ -45,3 +45,40 @@ def test_stream_equals_batch(spark, tmp_path):
     final = detect.window_counts(df).filter(F.col("window_start") < "2024-03-02")
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, final.collect()))
     assert detect.bursts(final, 25, 5).count() > 0
+
+
+def test_application_fields_and_ports(spark):
+    at_end = {f"_{i}": v for i, v in zip(range(105, 110), ["sub", "cat", "tech", "4", "evasive-behavior"], strict=True)}
+    lines = [
+        line(_90="2024-03-01T10:00:00.5+07:00", _93="sub", _94="cat", _95="tech", _96="3", _97='"a,b"'),
+        line("THREAT", 121, _90="2024-03-01T10:00:00.5+07:00", _94="sub", _95="cat", _96="tech", _97="5"),
+        line(_90="2024-03-01T10:00:00.5+07:00", _91="sub", _92="cat", _93="tech", _94="2"),
+        line(**at_end),
+        line(n=40),
+        line(_25="http", _14="unknown-udp"),
+        line(n=120, _14=""),
+    ]
+    got = {r.i: r for r in A.parse(spark.createDataFrame(list(enumerate(lines)), "i int, raw_line string")).collect()}
+    assert [(got[i].app_source, got[i].app_risk, got[i].app_category) for i in range(5)] == [("anchor", 3, "cat"), ("anchor", 5, "cat"), ("anchor_older", 2, "cat"), ("from_end", 4, "cat"), ("unresolved", None, None)]
+    assert got[0].app_characteristic == "a,b" and got[3].app_characteristic == "evasive-behavior"
+    assert got[5].invalid_fields == ["dst_port"] and got[5].app_state == "unresolved" and got[6].app_state == "absent"
+    assert [got[i].layout for i in (0, 4, 6)] == ["known", "partial", "extended"]
+    plain = A.parse(spark.createDataFrame([("2024-01-01T00:00:00Z host hello, world",), ("x",)], "raw_line string"), profile="syslog").collect()
+    assert [(r.parse_status, r.message) for r in plain] == [("preserved", "hello, world"), ("error", None)]
+
+
+def test_feeds(spark, tmp_path):
+    from emberlog.sources import feeds
+
+    text = '# "first_seen_utc","dst_ip","dst_port"\n"2024","45.33.1.2","443"\n"2024","45.33.1.2","80"\n"2024","10.0.0.1","80"\n"2024","host","1"\n'
+    (tmp_path / "a.txt").write_text(text)
+    got = {(r.kind, r.ip, r.entries, r.state) for r in feeds.feed(spark.read.text(str(tmp_path / "a.txt"))).collect()}
+    assert got == {("botnet", "45.33.1.2", 2, "global"), ("botnet", "10.0.0.1", 1, "private"), ("botnet", "host", 1, "invalid")}
+    rows = spark.createDataFrame([("8.8.8.8 # resolver",), ("# only a comment",), ("",), ("8.8.8.8",)], "value string")
+    assert [(r.kind, r.ip, r.entries) for r in feeds.feed(rows).collect()] == [("plain", "8.8.8.8", 2)]
+    rows = spark.createDataFrame([('# "first_seen_utc","ioc_value","ioc_type"',), ('"x","45.33.1.9:443","ip:port"',), ('"x","name","domain"',)], "value string")
+    assert [(r.kind, r.ip) for r in feeds.feed(rows).collect()] == [("indicators", "45.33.1.9")]
+    (tmp_path / "b.csv").write_text("﻿Kind,Label\na,BENIGN\nb,odd\n", encoding="utf-8")
+    got = [(r.kind, r.label, r.error) for r in feeds.read_benchmark(spark, str(tmp_path / "b.csv"), {"Kind": "kind", "Label": "label"}, {"benign": "benign"}).collect()]
+    assert got == [("a", "benign", None), ("b", None, "unknown label: odd")]
+    assert feeds.read_lines(spark, str(tmp_path / "a.txt")).count() == 5
