@@ -92,3 +92,99 @@ def prevalence(logs: DataFrame, seconds: int) -> DataFrame:
     """How many hosts a target has in each window."""
     start = F.col("us") - F.pmod("us", F.lit(seconds * 1_000_000))
     return logs.filter("dst_ip is not null").groupBy(start.alias("win"), "dst_ip").agg(F.countDistinct("src_ip").alias("hosts"))
+
+
+#: Names and minutes of the trailing widths.
+WIDTHS = {"5m": 5, "15m": 15, "1h": 60, "24h": 1440}
+
+
+def trailing(logs: DataFrame, widths: dict[str, int] = WIDTHS, bucket_minutes: int = 1440) -> DataFrame:
+    """Facts over the trailing minutes of each log's source and host, by log_id.
+
+    Per width: logs, denials, distinct ports and targets, bytes and bytes sent, unknown and
+    risky applications, and the share of denials.  Logs of equal time count up to the log's own id.  Time is cut into
+    buckets as long as the longest width and every log also joins the next bucket, so a
+    window has a host's logs of two buckets, not of all time; sets hold distinct values
+    only.  A log's window is summed anew, so time grows with logs times those in a window.
+    ``log_id`` is a key.
+    """
+    step = bucket_minutes * 60_000_000
+    if max(widths.values()) > bucket_minutes:
+        raise ValueError("a bucket must be as long as the longest width")
+    base = logs.filter("us is not null").select(
+        "log_id", "source_id", "src_ip", "dst_ip", "dst_port", "us", "bytes", "bytes_sent",
+        P.lowered("action").isin("deny", "drop").cast("long").alias("deny"),
+        P.lowered("app").isin(P.UNKNOWN_APPS).cast("long").alias("unknown"),
+        F.coalesce((F.col("app_risk") >= 4).cast("long"), F.lit(0)).alias("risky"),
+    )
+    own = F.floor(F.col("us") / step)
+    placed = base.withColumn("own", own).withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    host = Window.partitionBy("source_id", "src_ip", "bucket")
+    same = Window.partitionBy("source_id", "src_ip", "bucket", "us").orderBy("log_id")
+    upto, later = same.rowsBetween(Window.unboundedPreceding, 0), same.rowsBetween(1, Window.unboundedFollowing)
+    sums = {"logs": F.lit(1), "denied": F.col("deny"), "bytes": F.col("bytes"), "sent": F.col("bytes_sent"), "unknown": F.col("unknown"), "risky": F.col("risky")}
+    sets = {"ports": "dst_port", "targets": "dst_ip"}
+    facts = {}
+    for name, minutes in widths.items():
+        span, before = (host.orderBy("us").rangeBetween(-minutes * 60_000_000, end) for end in (0, -1))
+        for fact, value in sums.items():
+            facts[f"{fact}_{name}"] = (F.coalesce(F.sum(value).over(span), F.lit(0)) - F.coalesce(F.sum(value).over(later), F.lit(0))).cast("long")
+        for fact, column in sets.items():
+            facts[f"{fact}_{name}"] = F.size(F.array_union(F.collect_set(column).over(before), F.collect_set(column).over(upto))).cast("long")
+    out = placed.withColumns(facts).filter("bucket = own").select("log_id", *facts)
+    return out.withColumns({f"deny_share_{n}": F.round(F.col(f"denied_{n}") / F.col(f"logs_{n}"), 4) for n in widths})
+
+
+def scan_score(ports: Column, targets: Column, deny_share: Column) -> Column:
+    """How much like a scan a host's last minutes look, up to 100."""
+    return F.least(F.lit(100), F.floor(ports * 4 + targets * 2 + deny_share * 30)).cast("int")
+
+
+def calendar(ts: str) -> tuple[Column, Column]:
+    """Hour of the day, and whether it is outside of 7 to 18 o'clock."""
+    hour = F.hour(ts)
+    return hour, ((hour < 7) | (hour >= 18)).cast("int")
+
+
+def window_shares(logs: DataFrame, minutes: int = 5) -> DataFrame:
+    """Per host and fixed window the features that plain aggregates give; means skip nulls, shares do not."""
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    step = minutes * 60_000_000
+    rows = logs.filter("src_ip is not null and us is not null").withColumn("window", F.col("us") - F.pmod("us", F.lit(step)))
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    return rows.groupBy("src_ip", "window").agg(
+        F.count("*").alias("n_logs"),
+        F.countDistinct("dst_ip").alias("n_dst_ips"),
+        F.countDistinct("dst_port").alias("n_dst_ports"),
+        share(low("action").rlike("^(deny|drop|reset)")).alias("deny_share"),
+        share(F.coalesce(F.col("bytes_received"), F.lit(0)) <= 0).alias("zero_reply_share"),
+        F.avg("packets").alias("mean_packets"),
+        F.max("packets").alias("max_packets"),
+        F.sum("bytes_sent").alias("bytes_sent_total"),
+        F.max("bytes_sent").alias("bytes_sent_max"),
+        F.sum("bytes_received").alias("bytes_received_total"),
+        (F.sum("bytes_sent") / (F.coalesce(F.sum("bytes_received"), F.lit(0)) + 1)).alias("upload_ratio"),
+        F.avg("elapsed_time").alias("mean_elapsed"),
+        share(F.coalesce(F.col("elapsed_time"), F.lit(0)) <= 1).alias("short_session_share"),
+        share(low("app").isin(P.UNKNOWN_APPS)).alias("unknown_app_share"),
+        F.max("app_risk").alias("max_app_risk"),
+        share(F.coalesce(F.col("app_risk"), F.lit(0)) >= 4).alias("high_risk_share"),
+        share(F.col("outbound")).alias("outbound_share"),
+        share(F.col("inbound")).alias("inbound_share"),
+        share(F.col("dst_port").isin(P.LOGIN_PORTS)).alias("auth_port_share"),
+        share(F.col("dst_port").isNotNull() & ~F.col("dst_port").isin(P.COMMON_PORTS)).alias("uncommon_port_share"),
+        F.count_if(F.upper(F.coalesce("log_type", F.lit(""))) == "THREAT").alias("threat_logs"),
+        F.countDistinct("app").alias("n_apps"),
+        share(P.is_file_sharing()).alias("p2p_share"),
+        F.first(P.is_private("src_ip").cast("double")).alias("src_is_private"),
+    )
+
+
+def top_parts(logs: DataFrame, minutes: int = 5) -> DataFrame:
+    """Per host and fixed window the share of its busiest target, and the logs of its busiest service."""
+    step = minutes * 60_000_000
+    rows = logs.filter("src_ip is not null and us is not null").withColumn("window", F.col("us") - F.pmod("us", F.lit(step)))
+    by = rows.groupBy("src_ip", "window", "dst_ip", "dst_port").agg(F.count("*").alias("n"))
+    hosts = by.groupBy("src_ip", "window", "dst_ip").agg(F.sum("n").alias("n"), F.max("n").alias("service"))
+    known = F.when(F.col("dst_ip").isNotNull(), F.col("n"))
+    return hosts.groupBy("src_ip", "window").agg((F.max(known) / F.sum("n")).alias("top_dst_share"), F.max("service").alias("top_service_logs"))

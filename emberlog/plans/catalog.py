@@ -1,8 +1,8 @@
 """All registered queries with the SQL that states the same result."""
 
-from . import detection, ingest, reports
+from . import alerts, detection, ingest, reports
 
-_parts = (detection, reports, ingest)
+_parts = (detection, reports, ingest, alerts)
 
 QUERIES: dict = {k: v for p in _parts for k, v in p.QUERIES.items()}
 ORACLE: dict = {k: v for p in _parts for k, v in p.ORACLE.items()}
