@@ -133,3 +133,62 @@ def test_islands_break_after_a_day(spark):
     rows.pop()
     df = spark.createDataFrame(rows, df.schema)
     assert sorted(r.occurrences for r in R.islands(df).collect()) == [1, 2]
+
+
+def test_rules_of_threats_and_exceptions(spark):
+    """One log for each condition, at the threshold and beside it."""
+    base = {"log_id": 0, "source_id": 1, "generated_time": datetime(2024, 3, 1, 10), "log_type": "TRAFFIC", "subtype": "end", "src_ip": "8.8.4.4", "dst_ip": "10.0.0.5", "src_port": 5000, "dst_port": 443, "src_zone": "untrust", "dst_zone": "trust", "action": "allow", "app": "ssl", "app_risk": 1, "bytes": 10, "bytes_sent": 5, "bytes_received": 5, "packets": 3, "repeat_count": 1, "threat_severity": None, "threat_name": None, "category": None, "app_category": "networking", "app_characteristic": None, "protocol": "tcp"}
+    cases = [
+        ({"log_type": "THREAT", "subtype": "vulnerability", "threat_severity": "informational", "threat_name": "Non-RFC Compliant DNS"}, {"paloalto_threat_informational"}, {"paloalto_threat_log"}),
+        ({"log_type": "THREAT", "subtype": "vulnerability", "threat_severity": "informational", "threat_name": "Nmap probe"}, {"paloalto_threat_log"}, {"paloalto_threat_informational"}),
+        ({"log_type": "THREAT", "subtype": "url", "category": "Botnet", "threat_severity": "low"}, {"paloalto_malware_threat"}, {"paloalto_threat_log"}),
+        ({"app_characteristic": "x, Used-By-Malware "}, {"suspicious_app_characteristic"}, set()),
+        ({"app_characteristic": "pervasive-use"}, set(), {"suspicious_app_characteristic"}),
+        ({"src_port": 20, "app": "ftp-data", "dst_port": 40000}, {"outside_to_inside"}, {"unusual_destination_port"}),
+        ({"src_port": 21, "app": "ftp-data", "dst_port": 40000}, {"unusual_destination_port"}, set()),
+        ({"app_category": "unknown"}, {"unknown_or_incomplete_app"}, set()),
+        ({"src_zone": "trust", "dst_zone": "untrust", "bytes_sent": None, "bytes": 10_000_001}, {"high_outbound_bytes"}, {"high_bytes_outlier"}),
+        ({"bytes_sent": 1, "bytes": 10_000_001}, {"high_bytes_outlier"}, {"high_outbound_bytes"}),
+        ({"bytes_sent": 1, "bytes": 10_000_000}, set(), {"high_bytes_outlier"}),
+    ]
+    fields = "log_id long, source_id int, generated_time timestamp_ntz, log_type string, subtype string, src_ip string, dst_ip string, src_port int, dst_port int, src_zone string, dst_zone string, action string, app string, app_risk int, bytes long, bytes_sent long, bytes_received long, packets long, repeat_count int, threat_severity string, threat_name string, category string, app_category string, app_characteristic string, protocol string"
+    rows = [base | {"log_id": i, "src_ip": f"8.8.4.{i}"} | case for i, (case, _, _) in enumerate(cases)]
+    logs = spark.createDataFrame([tuple(r[f.split()[0]] for f in fields.split(", ")) for r in rows], fields)
+    matched = R.evaluate(logs)
+    got = {r.log_id: {m.code for m in r.matches} for r in matched.collect()}
+    for i, (_, there, absent) in enumerate(cases):
+        assert there <= got[i] and not absent & got[i], (i, got[i])
+    expected = spark.createDataFrame([("10.0.0.5", 40000, "TCP")], "address string, port int, protocol string")
+    freed = {r.log_id: {m.code for m in r.matches} for r in R.without_expected(matched, expected).collect()}
+    assert freed[6] == set() and freed[7] == got[7]
+    hits = spark.createDataFrame([(4, 20), (4, 45)], "log_id long, boost int")
+    listed = {r.log_id: [(m.code, m.score) for m in r.matches] for r in R.with_watchlist(matched, hits).collect()}
+    assert ("watchlist_match", 45) in listed[4] and "watchlist_match" not in {c for c, _ in listed[3]}
+
+
+def test_suppression_needs_all_targets_and_one_source(spark):
+    from emberlog.operators import alerts as A
+
+    groups = spark.createDataFrame([("g", "scan"), ("h", "scan"), ("k", "flood")], "group_id string, alert_type string")
+    logs = spark.createDataFrame([("g", "1.1.1.1", "d", "SSL"), ("g", "2.2.2.2", "d", None), ("h", "1.1.1.1", "d", "x"), ("h", "3.3.3.3", "e", "x"), ("k", None, None, None)], "group_id string, src_ip string, dst_ip string, app string")
+    rules = spark.createDataFrame([(1, "scan", None, "d", None, True), (2, "scan", "1.1.1.1", None, "ssl", True), (3, None, "3.3.3.3", None, None, True), (0, None, None, None, None, False)], "rule_id int, alert_type string, src_ip string, dst_ip string, app string, active boolean")
+    assert {r.group_id: r.suppressed_by for r in A.suppressed(groups, logs, rules).collect()} == {"g": 1, "h": 3, "k": None}
+
+
+def test_attack_types(spark):
+    from emberlog.operators import alerts as A
+
+    rows = spark.createDataFrame([(1, ["app_risk_5", "possible_port_scan"]), (2, ["possible_port_scan", "paloalto_malware_threat"]), (3, ["outside_to_inside"]), (4, ["suspicious_app_characteristic", "deny_drop_action"]), (5, [])], "i int, codes array<string>")
+    matches = F.transform("codes", lambda c: F.struct(c.alias("code")))
+    got = {r.i: r.t for r in rows.withColumn("matches", matches).select("i", A.attack_type().alias("t")).collect()}
+    assert got == {1: "port_scan", 2: "malware_c2", 3: "unknown_anomaly", 4: "policy_violation", 5: "unknown_anomaly"}
+    types = spark.range(1).select(A.more_specific(F.array(F.lit("port_scan"), F.lit(None), F.lit("brute_force"))).alias("t"))
+    assert types.first().t == "brute_force"
+
+
+def test_leakage_groups_chain(spark, tmp_path):
+    from emberlog.operators import groups as G
+
+    rows = spark.createDataFrame([(5, "a", "x"), (3, "b", "x"), (9, "b", "y"), (7, "c", "y"), (1, "d", None), (2, None, None)], "id long, a string, b string")
+    got = {r.key: r.group for r in G.leakage_groups(spark, rows, "id", ["a", "b"], str(tmp_path)).collect()}
+    assert got == {5: 3, 3: 3, 9: 3, 7: 3, 1: 1, 2: 2}
