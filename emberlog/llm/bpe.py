@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import held, replaced, slices
 
 #: Words that a worker remembers; the older half goes when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 160_000
 #: Longer chunks are encoded but not remembered.
 CACHE_CHARS = 64
 #: Words of more symbols are merged with a heap.
@@ -270,6 +270,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     called ``ids`` is replaced.
     """
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         bpe = codec(path)
         for batch in slices(batches, text, tables=True):
@@ -286,6 +288,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add ``text``, the decoded string, to every row; null ids give an empty string."""
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         bpe = codec(path)
         for batch in slices(batches, ids, tables=True):
@@ -304,6 +308,8 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
     Repeated rows each give a row.
     """
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         bpe = codec(path)
         for batch in slices(batches, text, tables=True):

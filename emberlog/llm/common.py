@@ -11,12 +11,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch are handled in slices of about so many bytes of text.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
+#: Bytes of the batches that Spark sends to Python; JVM and worker hold one each.
+BATCH_BYTES = "8m"
 
 
 _made: list["Scratch"] = []
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by BATCH_BYTES in this session, unless it sets a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 class Scratch:
     """Written tables in the folder that the cluster names in ``spark.checkpoint.dir``.
 
@@ -79,9 +88,14 @@ def let_go() -> None:
     if _held:
         _held.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: an idle worker counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +116,8 @@ def slices(batches, column: str, tables: bool = False):
         step = max(1, int(batch.num_rows * SLICE_BYTES / max(size, 1)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    batch = None
+    give_back()
 
 
 def replaced(batch: pa.RecordBatch, drop: list[str], add: dict[str, pa.Array]) -> pa.RecordBatch:

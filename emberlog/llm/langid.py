@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held, slices
+from .common import held, slices, small_batches
 
 #: Bounds of the labelled sample: rows a language, characters of a language and of all, languages.
 SAMPLE_ROWS, LANGUAGE_CHARS, ALL_CHARS, LANGUAGES = 400, 40_000, 400_000, 1000
@@ -150,11 +150,11 @@ class Parser:
         found = codes > 0
         kept = found.copy()
         kept[1:] |= found[:-1]  # a word and the first of what is between it and the next
-        places = np.concatenate([[0], np.cumsum(kept)])
+        places = np.concatenate([np.zeros(1, np.int32), np.cumsum(kept, dtype=np.int32)])
         flat = np.concatenate([np.zeros(1, np.uint8), codes[kept]])
         starts = places[bounds[:-1] + 1]
         sizes = places[bounds[1:] + 1] - starts + 1
-        seen = np.concatenate([[0], np.cumsum(found)])
+        seen = np.concatenate([np.zeros(1, np.int32), np.cumsum(found, dtype=np.int32)])
         return flat, starts, sizes, seen[bounds[1:]] - seen[bounds[:-1]]
 
     def _walk(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, edges: bool = False):
@@ -255,6 +255,7 @@ def identify(
     row is labelled.  Equal counts go to the first language by name.  Repeated rows each
     give a row; columns of ``docs`` named like the results are replaced.
     """
+    small_batches(spark)
     samples = fit(docs, key, text, lang) if samples is None else samples
     shared = spark.sparkContext.broadcast(samples)  # at most ALL_CHARS characters
     ident = shared._jbroadcast.id() if hasattr(shared, "_jbroadcast") else id(shared)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, slices
+from .common import Scratch, slices, small_batches
 
 #: A run has at least so many sentences and words; one sentence more, and any words will do.
 SENTENCES, WORDS = 2, 10
@@ -103,6 +103,7 @@ def dedup(
     last, follow in the order in which they are read, so of equal rows the first stays
     whole.  An empty table gives an empty one.
     """
+    small_batches(spark)
     scratch = scratch or Scratch(spark, "spans")
     docs = docs.drop("n_sentences", "n_removed", "_span_row")
     # the row's number is written down, so that both passes mean the same row by it
