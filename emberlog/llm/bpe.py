@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import held, replaced, slices
+from .common import held, replaced, slices, small_batches
 
 #: Words that a worker remembers; the older half goes when it is full.
 CACHE_WORDS = 160_000
