@@ -64,14 +64,15 @@ def ordered_cut(rows: DataFrame, order: list[str], parts: int) -> DataFrame:
     """Rows in order cut into ``parts`` of equal size, by exact rank, without one sorting task.
 
     A coarse range of the first order column gives each row's slice; slice totals are few
-    and summed in order, and only slices are ranked.
+    and summed in order, and only slices are ranked.  Nulls of that column come last, as a
+    slice of their own.
     """
     slices = 512
     low, high = rows.agg(F.min(order[0]), F.max(order[0])).first()
     if low is None:
-        return rows.withColumn("part", F.lit(None).cast("int"))
+        low = high = 0
     width = max(1, math.ceil((high - low + 1) / slices))
-    sliced = rows.withColumn("_s", F.floor((F.col(order[0]) - low) / width))
+    sliced = rows.withColumn("_s", F.coalesce(F.floor((F.col(order[0]) - low) / width), F.lit(slices)))
     sums = sliced.groupBy("_s").agg(F.count("*").alias("_n"))
     ahead = sums.select("_s", (F.sum("_n").over(Window.orderBy("_s")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     rank = F.row_number().over(Window.partitionBy("_s").orderBy(*order)) - 1 + F.col("_before")

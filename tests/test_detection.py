@@ -192,3 +192,13 @@ def test_leakage_groups_chain(spark, tmp_path):
     rows = spark.createDataFrame([(5, "a", "x"), (3, "b", "x"), (9, "b", "y"), (7, "c", "y"), (1, "d", None), (2, None, None)], "id long, a string, b string")
     got = {r.key: r.group for r in G.leakage_groups(spark, rows, "id", ["a", "b"], str(tmp_path)).collect()}
     assert got == {5: 3, 3: 3, 9: 3, 7: 3, 1: 1, 2: 2}
+
+
+def test_ordered_cut_puts_nulls_last(spark):
+    from emberlog.operators import evaluation as E
+
+    rows = spark.createDataFrame([(10, 1), (10, 2), (5, 3), (None, 4), (10**15, 5), (None, 6)], "us long, id int")
+    assert {r.id: r.part for r in E.ordered_cut(rows, ["us", "id"], 3).collect()} == {3: 0, 1: 0, 2: 1, 5: 1, 4: 2, 6: 2}
+    alone = rows.filter("us IS NULL")
+    assert {r.id: r.part for r in E.ordered_cut(alone, ["us", "id"], 2).collect()} == {4: 0, 6: 1}
+    assert not E.ordered_cut(rows.limit(0), ["us", "id"], 2).collect()
