@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, langid, mixing, nndescent, spans, tiff, toxicity, warc
+from . import bpe, chat, jaccard, langid, mixing, nndescent, pieces, spans, tiff, toxicity, warc
 from .common import table
 
 
@@ -68,6 +68,12 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pair_id", "n_prompt_turns", "prompt", "chosen", "rejected", chat.spans_text(F.col("chosen_mask")).alias("chosen_mask"), chat.spans_text(F.col("rejected_mask")).alias("rejected_mask"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_tiff": op2_tiff,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nndescent": op8_nndescent,
     "op9_langid": op9_langid,
     "op10_preferences": op10_preferences,
+    "op11_pieces": op11_pieces,
 }
 
 PREFERENCES_SQL = r"""
