@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard, langid, mixing, nndescent, pieces, spans, tiff, toxicity, warc
+from . import bpe, chat, divergence, jaccard, langid, mixing, nndescent, pieces, spans, tiff, toxicity, warc
 from .common import table
 
 
@@ -74,6 +74,10 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_tiff": op2_tiff,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_preferences": op10_preferences,
     "op11_pieces": op11_pieces,
+    "op13_divergence": op13_divergence,
 }
 
 PREFERENCES_SQL = r"""
@@ -141,4 +146,31 @@ SELECT doc_id, size, source_size, target,
 FROM x
 """
 
-ORACLE: dict[str, str] = {"op7_mixing": MIXING_SQL, "op10_preferences": PREFERENCES_SQL}
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+w AS (SELECT row, lang, source, unnest(words) AS term FROM d),
+a AS (SELECT lang, source, term, count(*)::HUGEINT AS n, count(DISTINCT row) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM a GROUP BY ALL HAVING sum(docs) >= 3),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS size FROM k GROUP BY ALL),
+c AS (SELECT a.* FROM a JOIN k USING (lang, term)),
+z AS (SELECT lang, source, sum(n)::HUGEINT AS size FROM c GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(size, 0)::HUGEINT AS size FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN z USING (lang, source)),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.size + l.v) AS p,
+    1 + (1000000000::HUGEINT * (k.n + 1)) // (l.size + l.v) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::HUGEINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM o)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE: dict[str, str] = {"op7_mixing": MIXING_SQL, "op10_preferences": PREFERENCES_SQL, "op13_divergence": DIVERGENCE_SQL}
