@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, divergence, jaccard, langid, mixing, nndescent, pieces, spans, tiff, toxicity, warc
+from . import bpe, chat, divergence, jaccard, langid, mixing, nndescent, pieces, spans, tiff, toxicity, warc, whitening
 from .common import table
 
 
@@ -74,6 +74,10 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(spark, table(spark, sf_dir, "documents"))
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_preferences": op10_preferences,
     "op11_pieces": op11_pieces,
+    "op12_whitening": op12_whitening,
     "op13_divergence": op13_divergence,
 }
 
