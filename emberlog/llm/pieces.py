@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import held, replaced, slices, small_batches
 
 #: Chunks that a worker remembers; the older half goes when it is full.
-CACHE_CHUNKS = 320_000
+CACHE_CHUNKS = 400_000
 #: Longer chunks are encoded but not remembered.
 CACHE_CHARS = 64
 #: Pairs of pieces whose test a worker remembers before it starts anew.
@@ -112,7 +112,7 @@ class Model:
         order = {s: r for r, s in enumerate(sorted({-rows[i].get(SCORE, 0.0) for i in vocab.values()}))}
         self._splits(vocab, {name: order[-rows[i].get(SCORE, 0.0)] for name, i in vocab.items()})
         self._surfaces()
-        self.foreign = re.compile("[^" + "".join(map(re.escape, sorted(self.letters))) + "]")
+        self.parting = next(c for c in map(chr, range(0x110000)) if c not in self.letters)
         # pieces with a space after another letter would join what is cut apart here
         cut = not any(re.search(f"[^{SPACE}]{SPACE}", name) for name in vocab)
         lone = "".join(c for c in "\n\t\r" if c not in self.letters)
@@ -187,77 +187,75 @@ class Model:
             else:
                 ends_a, a = born[a], self.right[a]
 
-    def _known(self, text: str) -> list[int]:
-        """Tokens of a text of known letters, by the table of last tokens."""
-        pairs, n, sizes = self.pairs, self.size, self.sizes
+    def _last(self, text: str) -> list[int]:
+        """The table: of every prefix the last token, -1 where it ends with a letter that no piece has."""
+        pairs, n = self.pairs, self.size
         known = pairs.get
         last = [-1] * (len(text) + 1)
         to = 0
         for end, (piece, size) in self.finder.iter(text):
             if end < to:
                 continue  # its last token is found
-            if end >= size:
-                key = last[end + 1 - size] * n + piece
-                ok = known(key)
+            if (before := last[end + 1 - size]) >= 0:
+                ok = known(before * n + piece)
                 if ok is None:
                     if len(pairs) >= CACHE_PAIRS:
                         pairs.clear()
-                    ok = pairs[key] = self.compatible(last[end + 1 - size], piece)
+                    ok = pairs[before * n + piece] = self.compatible(before, piece)
                 if not ok:
                     continue
             to = end + 1
             last[to] = piece
-        out, at = [], len(text)
-        while at:
-            piece = last[at]
-            out.append(piece)
-            at -= sizes[piece]
-        return out[::-1]
+        return last
 
     def _spelled(self, c: str) -> list[int]:
         return [self.byte_ids[b] for b in c.encode()] if self.byte_ids else [self.unknown]
 
-    def tokens(self, chunk: str) -> list[int]:
-        """Tokens of a chunk; letters that no piece has are spelled and part what is around them."""
-        out: list[int] = []
-        at = 0
-        for found in self.foreign.finditer(chunk):
-            if found.start() > at:
-                out += self._known(chunk[at : found.start()])
-            out += self._spelled(found[0])
-            at = found.end()
-        if at < len(chunk):
-            out += self._known(chunk[at:])
-        if self.loose:
-            out = [t for i in out for t in ([i] if i < len(self.names) else self._spelled(self.text[i]))]
-        if not self.byte_ids:  # unknown letters in a row are one token
-            out = [i for k, i in enumerate(out) if i != self.unknown or not k or out[k - 1] != i]
-        return out
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, by one table for all of them: a letter that no piece has parts one from the next."""
+        sizes, size, text = self.sizes, len(self.names), self.parting.join(chunks)
+        last = self._last(text)
+        out, end = [], len(text)
+        for chunk in reversed(chunks):
+            at, start, ids = end, end - len(chunk), array("I")
+            while at > start:
+                piece = last[at]
+                if 0 <= piece < size:
+                    ids.append(piece)
+                    at -= sizes[piece]
+                else:
+                    at -= 1
+                    ids.extend(reversed(self._spelled(text[at])))
+            ids.reverse()
+            out.append(ids.tobytes())
+            end = start - 1
+        return out[::-1]
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; new chunks are learnt together."""
+        first = SPACE if self.prefix else ""
+        cut = [self.chunks(first + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.fresh) > CACHE_CHUNKS // 2:
             self.aged, self.fresh = self.fresh, {}
         fresh, aged = self.fresh, self.aged
-        chunks = self.chunks(marked)
-        out = list(map(fresh.get, chunks))
-        if None in out:
-            for k, ids in enumerate(out):
-                if ids is not None:
-                    continue
-                chunk = chunks[k]
-                ids = fresh.get(chunk) or aged.get(chunk) or array("I", self.tokens(chunk)).tobytes()
-                if len(chunk) <= CACHE_CHARS:
-                    fresh[chunk] = ids
-                out[k] = ids
-        found = b"".join(out)
-        if not self.byte_ids:
-            a = np.frombuffer(found, "<u4")
-            found = a[np.append(True, (a[1:] != self.unknown) | (a[:-1] != self.unknown))].tobytes()
-        return found
+        new = set().union(*cut).difference(fresh)
+        for chunk in new.intersection(aged):
+            fresh[chunk] = aged[chunk]
+        unseen = list(new.difference(aged))
+        fresh.update(zip(unseen, self.learn(unseen), strict=True))
+        found = [b"".join(map(fresh.__getitem__, chunks)) for chunks in cut]
+        for chunk in unseen:
+            if len(chunk) > CACHE_CHARS:
+                del fresh[chunk]
+        return found if self.byte_ids else list(map(self._squeezed, found))
+
+    def _squeezed(self, ids: bytes) -> bytes:
+        """Unknown letters in a row are one token."""
+        a = np.frombuffer(ids, "<u4")
+        return a[np.append(True, (a[1:] != self.unknown) | (a[:-1] != self.unknown))[: len(a)]].tobytes()
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
     def _surfaces(self) -> None:
         shown = {NORMAL: lambda s: s.replace(SPACE, " ").encode(), UNKNOWN: lambda s: self.unknown_surface, CONTROL: lambda s: b"", BYTE: lambda s: bytes([int(s[3:5], 16)])}
@@ -301,7 +299,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     def run(batches):
         coder = model(path)
         for batch in slices(batches, text, tables=True):
-            coded = [coder.encode(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            coded = coder.encode_all([t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
             ends = np.cumsum([0] + [len(b) // 4 for b in coded]).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32))
             yield replaced(batch, [], {ids: pa.ListArray.from_arrays(pa.array(ends), flat)})
@@ -342,8 +340,8 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
         decimal = list(map(str, range(len(coder.names))))
         for batch in slices(batches, text, tables=True):
             count, ids_sum, text_sum = [], [], []
-            for t in batch.column(1).to_pylist():
-                ids = np.frombuffer(coder.encode(t or ""), "<u4").tolist()
+            for coded in coder.encode_all([t or "" for t in batch.column(1).to_pylist()]):
+                ids = np.frombuffer(coded, "<u4").tolist()
                 count.append(len(ids))
                 ids_sum.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 text_sum.append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
