@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .addresses import is_global as is_global
+from .addresses import is_private as is_private
+
 # Names of zones, services and applications as firewalls write them.
 OUTSIDE_TOKENS = ["outside", "untrust", "internet", "wan"]
 INSIDE_TOKENS = ["inside", "trust", "lan", "wlan", "corp"]
@@ -30,10 +33,6 @@ EXPLOIT_SEVERITIES = ["medium", "high", "critical"]
 DNS_NTP_PORTS = [53, 123]
 UNKNOWN_APPS = ["unknown", "unknown-tcp", "unknown-udp", "incomplete"]
 
-#: Blocks of addresses that are private in the sense of the language's address library.
-PRIVATE_BLOCKS = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4"]
-SHARED_BLOCKS = ["100.64.0.0/10"]
-
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -73,24 +72,6 @@ def ip_number(ip: str | Column) -> Column:
     return F.when(good & (F.greatest(*[number(i) for i in range(4)]) <= 255), value)
 
 
-def in_block(number: Column, block: str) -> Column:
-    base, bits = block.split("/")
-    low = sum(int(p) << s for p, s in zip(base.split("."), (24, 16, 8, 0), strict=True))
-    return number.between(low, low + (1 << (32 - int(bits))) - 1)
-
-
-def is_private(ip: str | Column) -> Column:
-    n, found = ip_number(ip), F.lit(False)
-    for b in PRIVATE_BLOCKS:
-        found = found | in_block(n, b)
-    return F.coalesce(found, F.lit(False))
-
-
-def is_global(ip: str | Column) -> Column:
-    n = ip_number(ip)
-    return n.isNotNull() & ~is_private(ip) & ~in_block(n, SHARED_BLOCKS[0]) & (n < 224 << 24)
-
-
 def weight(repeat_count: str | Column) -> Column:
     """How many events a log stands for, between 1 and 10,000."""
     return F.least(F.greatest(F.coalesce(col(repeat_count), F.lit(1)), F.lit(1)), F.lit(10000)).cast("long")

@@ -38,8 +38,8 @@ class Config:
 OPTIONAL = {"threat_name": "string", "category": "string", "app_category": "string", "app_technology": "string", "app_subcategory": "string", "app_characteristic": "string", "bytes": "long", "packets_received": "long", "session_end_reason": "string", "src_port": "int", "protocol": "string"}
 
 
-def prepared(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Logs with the columns that correlation and rules share."""
+def prepared(logs: DataFrame, cfg: Config = Config(), byte_bar: Column | None = None) -> DataFrame:
+    """Logs with the columns that correlation and rules share; ``byte_bar`` replaces the configured byte threshold."""
     facts = {
         "us": micros("generated_time"),
         "weight": P.weight("repeat_count"),
@@ -48,7 +48,7 @@ def prepared(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
         "outbound": P.outbound(),
     }
     out = logs.withColumns({n: F.lit(None).cast(kind) for n, kind in OPTIONAL.items() if n not in logs.columns}).withColumns(facts)
-    return out.withColumn("large", F.coalesce((P.outbound_bytes() > cfg.byte_threshold) & F.col("outbound"), F.lit(False)))
+    return out.withColumn("large", F.coalesce((P.outbound_bytes() > (cfg.byte_threshold if byte_bar is None else byte_bar)) & F.col("outbound"), F.lit(False)))
 
 
 def window_start(us: Column, length: int, offset: int = 0) -> Column:
@@ -73,8 +73,8 @@ def _total(condition: Column | None = None) -> Column:
 def snapshot(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Each log with the counts of its fuller window.
 
-    ``logs`` are ``prepared``.  Logs without a source or a time get no window and counts
-    of 0.  The scope of every count is the log source.  Four aggregates of the members,
+    ``logs`` are ``prepared``.  Logs without a source get no window and counts of 0; logs
+    without a time are windows of their own.  The scope of every count is the log source.  Four aggregates of the members,
     each reduced before its shuffle, are joined back; a busy source's join is split by
     adaptive execution.
     """
@@ -96,7 +96,7 @@ def snapshot(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
     best = joined.groupBy("log_id").agg(F.max_by(F.struct("grid", "start", "source_count", "deny_count", "login_deny_count", "ports", "hosts"), order).alias("b"))
     chosen = slim.join(best, "log_id").select("log_id", "source_id", "src_ip", "dst_ip", "dst_port", "b.*")
 
-    by_service = m.groupBy(*key, "dst_ip", "dst_port").agg(_total().alias("dest_repeats"), F.count("*").alias("dest_events"), _total(F.col("denied") & login).alias("login_target_denials"))
+    by_service = m.groupBy(*key, "dst_ip", "dst_port").agg(_total(F.col("dst_ip").isNotNull()).alias("dest_repeats"), F.count("dst_ip").alias("dest_events"), _total(F.col("denied") & login).alias("login_target_denials"))
     by_port = m.filter("dst_port is not null").groupBy(*key, "dst_port").agg(F.countDistinct("dst_ip").alias("hosts_for_port"), _total(F.col("denied")).alias("denials_for_port"))
     by_host = m.groupBy(*key, "dst_ip").agg(F.sum(F.col("large").cast("long")).alias("large_to_host"))
     for part, by in ((by_service, [*key, "dst_ip", "dst_port"]), (by_port, [*key, "dst_port"]), (by_host, [*key, "dst_ip"])):
@@ -105,7 +105,12 @@ def snapshot(logs: DataFrame, cfg: Config = Config()) -> DataFrame:
     counts = ["source_count", "deny_count", "login_deny_count", "ports", "hosts", "dest_repeats", "dest_events", "login_target_denials", "hosts_for_port", "denials_for_port", "large_to_host"]
     slim_counts = chosen.select("log_id", F.col("grid").alias("window_grid"), F.col("start").alias("window_start"), *counts)
     out = logs.join(slim_counts, "log_id", "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in counts})
+    # a log without a time is alone in its window
+    alone = F.col("us").isNull() & F.col("src_ip").isNotNull() & (F.col("src_ip") != "")
+    port, host = F.col("dst_port").isNotNull(), F.col("dst_ip").isNotNull()
+    own = {"source_count": F.lit(True), "deny_count": F.col("denied"), "login_deny_count": F.col("denied") & login, "dest_repeats": host, "login_target_denials": F.col("denied") & login, "denials_for_port": F.col("denied") & port}
+    facts = {c: F.when(cond, F.col("weight")).otherwise(0) for c, cond in own.items()} | {c: cond.cast("long") for c, cond in {"ports": port, "hosts": host, "dest_events": host, "hosts_for_port": host & port, "large_to_host": F.col("large")}.items()}
+    return out.withColumns({c: F.coalesce(F.when(alone, facts[c]).otherwise(F.col(c)), F.lit(0)).cast("long") for c in counts})
 
 
 def _same(columns: list[str], a: DataFrame, b: DataFrame) -> Column:

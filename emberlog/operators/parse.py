@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import addresses as AD
 from ..functions import predicates as P
 
 # Positions (from 0) of fields in the payload of each log type, and the contract of each type.
@@ -25,8 +26,6 @@ AFTER_ANCHOR = {"TRAFFIC": 3, "THREAT": 4}
 APPLICATION = ["app_subcategory", "app_category", "app_technology", "app_risk", "app_characteristic"]
 #: A field up to its comma: quoted, with what follows the quote, or bare.  Nothing is tried twice.
 FIELD = r'("[^"]*+"(?:"[^"]*+")*+[^,]*+|[^,]*+),'
-#: Version 6 addresses in full or with one run of zeros left out, optionally ending in version 4.
-V6 = r"^(?=.*:.*:)(?!.*:::)(?!.*::.*::)(?:[0-9A-Fa-f]{1,4}|:)(?::?(?:[0-9A-Fa-f]{0,4}))*(?::(?:\d{1,3}\.){3}\d{1,3})?$"
 
 
 def fields(payload: Column) -> Column:
@@ -36,7 +35,7 @@ def fields(payload: Column) -> Column:
 
 
 def is_address(c: Column) -> Column:
-    return P.ip_number(c).isNotNull() | F.coalesce(c.rlike(V6), F.lit(False))
+    return AD.parse(c).isNotNull()
 
 
 def _field(name: str, at: int) -> Column:

@@ -118,7 +118,7 @@ keyed AS (SELECT *, CASE WHEN primary_code IN {CONTEXT_SQL} AND inbound THEN 'mu
   CASE WHEN primary_code IN ('beaconing_like_outbound', 'connection_flood_suspicion') THEN dst_ip ELSE '' END AS group_dst,
   CASE WHEN primary_code IN ('deny_drop_action', 'unusual_destination_port', 'brute_force_like_attempts', 'possible_horizontal_scan', 'beaconing_like_outbound', 'connection_flood_suspicion') THEN dst_port END AS group_port,
   CASE WHEN primary_code IN ('paloalto_threat_log', 'paloalto_malware_threat', 'app_risk_4', 'app_risk_5', 'suspicious_app_characteristic', 'beaconing_like_outbound') THEN app END AS group_app,
-  us - us % 86400000000 AS bucket, src_zone || '->' || dst_zone AS path FROM found),
+  CASE WHEN primary_code IN ('possible_port_scan', 'possible_horizontal_scan', 'beaconing_like_outbound', 'connection_flood_suspicion') THEN window_start ELSE us - us % 86400000000 END AS bucket, src_zone || '->' || dst_zone AS path FROM found),
 grouped AS (SELECT source_id, primary_code, group_src, group_dst, group_port, group_app, bucket, path, count(*) AS evidence, max(score) AS score, min(us) AS first_us, max(us) AS last_us,
   count(DISTINCT src_ip) AS sources, count(DISTINCT dst_ip) AS targets, count(DISTINCT dst_port) AS services, bool_or(capped) AS capped FROM keyed GROUP BY ALL),
 admitted AS (SELECT *, {SEVERITY_SQL} AS severity FROM grouped WHERE CASE WHEN primary_code IN {CONTEXT_SQL} THEN evidence >= 5 WHEN capped THEN true WHEN score <= 30 THEN evidence >= 5 ELSE true END)"""
@@ -183,8 +183,11 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.groups(R.candidates(R.evaluate(logs(spark, sf_dir), CFG), CFG), CFG)
 
 
+GROUP_FACTS = ["evidence", "score", "first_us", "last_us", "sources", "targets", "services", "severity"]
+
+
 def alert_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _groups(spark, sf_dir).withColumnRenamed("primary", "primary_code")
+    return _groups(spark, sf_dir).select(*R.GROUP_KEY, *GROUP_FACTS).withColumnRenamed("primary", "primary_code")
 
 
 def alert_islands(spark: SparkSession, sf_dir: str) -> DataFrame:

