@@ -6,35 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from .trailing import trailing
 
 
 def rolling(logs: DataFrame, minutes: tuple[int, ...] = (5, 60)) -> DataFrame:
-    """Counts over the trailing minutes of each log's source and host, the log itself included.
+    """Logs, denials and bytes sent over the trailing minutes of each log's source and host, and the logs before it.
 
-    Equal times count up to the log's own id.  Sums run over a time range and take away
-    the later logs of the same time.
+    Equal times count up to the log's own id.
     """
-    base = logs.select("log_id", "source_id", "src_ip", "us", "dst_port", "dst_ip", F.col("denied").cast("long").alias("deny"), "bytes_sent")
-    key = Window.partitionBy("source_id", "src_ip")
-    later = key.orderBy("us", "log_id")
-    peers = Window.partitionBy("source_id", "src_ip", "us").orderBy("log_id").rowsBetween(1, Window.unboundedFollowing)
-    out = base
-    for m in minutes:
-        span = key.orderBy("us").rangeBetween(-m * 60_000_000, 0)
-        out = out.withColumns(
-            {
-                f"logs_{m}m": F.count("*").over(span) - F.count("*").over(peers),
-                f"denied_{m}m": F.sum("deny").over(span) - F.coalesce(F.sum("deny").over(peers), F.lit(0)),
-                f"bytes_{m}m": F.sum("bytes_sent").over(span) - F.coalesce(F.sum("bytes_sent").over(peers), F.lit(0)),
-            }
-        )
-    return out.withColumn("prior_logs", F.row_number().over(later) - 1).drop("deny")
-
-
-def distinct_trailing(logs: DataFrame, minutes: int) -> DataFrame:
-    """Distinct ports over the trailing minutes; all logs of equal time are included."""
-    span = Window.partitionBy("source_id", "src_ip").orderBy("us").rangeBetween(-minutes * 60_000_000, 0)
-    return logs.select("log_id", F.size(F.collect_set("dst_port").over(span)).cast("long").alias("ports"))
+    plain = {f"{m}m": m for m in minutes}
+    found = trailing(logs, plain)
+    before = Window.partitionBy("source_id", "src_ip").orderBy("us", "log_id")
+    prior = logs.filter("us is not null").select("log_id", (F.row_number().over(before) - 1).alias("prior_logs"))
+    return found.select("log_id", *[F.col(f"{a}_{n}").alias(f"{b}_{n}") for n in plain for a, b in (("logs", "logs"), ("denied", "denied"), ("sent", "bytes"))]).join(prior, "log_id")
 
 
 def first_sights(logs: DataFrame) -> DataFrame:
@@ -94,47 +78,6 @@ def prevalence(logs: DataFrame, seconds: int) -> DataFrame:
     return logs.filter("dst_ip is not null").groupBy(start.alias("win"), "dst_ip").agg(F.countDistinct("src_ip").alias("hosts"))
 
 
-#: Names and minutes of the trailing widths.
-WIDTHS = {"5m": 5, "15m": 15, "1h": 60, "24h": 1440}
-
-
-def trailing(logs: DataFrame, widths: dict[str, int] = WIDTHS, bucket_minutes: int = 1440) -> DataFrame:
-    """Facts over the trailing minutes of each log's source and host, by log_id.
-
-    Per width: logs, denials, distinct ports and targets, bytes and bytes sent, unknown and
-    risky applications, and the share of denials.  Logs of equal time count up to the log's own id.  Time is cut into
-    buckets as long as the longest width and every log also joins the next bucket, so a
-    window has a host's logs of two buckets, not of all time; sets hold distinct values
-    only.  A log's window is summed anew, so time grows with logs times those in a window.
-    ``log_id`` is a key.
-    """
-    step = bucket_minutes * 60_000_000
-    if max(widths.values()) > bucket_minutes:
-        raise ValueError("a bucket must be as long as the longest width")
-    base = logs.filter("us is not null").select(
-        "log_id", "source_id", "src_ip", "dst_ip", "dst_port", "us", "bytes", "bytes_sent",
-        P.lowered("action").isin("deny", "drop").cast("long").alias("deny"),
-        P.lowered("app").isin(P.UNKNOWN_APPS).cast("long").alias("unknown"),
-        F.coalesce((F.col("app_risk") >= 4).cast("long"), F.lit(0)).alias("risky"),
-    )
-    own = F.floor(F.col("us") / step)
-    placed = base.withColumn("own", own).withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    host = Window.partitionBy("source_id", "src_ip", "bucket")
-    same = Window.partitionBy("source_id", "src_ip", "bucket", "us").orderBy("log_id")
-    upto, later = same.rowsBetween(Window.unboundedPreceding, 0), same.rowsBetween(1, Window.unboundedFollowing)
-    sums = {"logs": F.lit(1), "denied": F.col("deny"), "bytes": F.col("bytes"), "sent": F.col("bytes_sent"), "unknown": F.col("unknown"), "risky": F.col("risky")}
-    sets = {"ports": "dst_port", "targets": "dst_ip"}
-    facts = {}
-    for name, minutes in widths.items():
-        span, before = (host.orderBy("us").rangeBetween(-minutes * 60_000_000, end) for end in (0, -1))
-        for fact, value in sums.items():
-            facts[f"{fact}_{name}"] = (F.coalesce(F.sum(value).over(span), F.lit(0)) - F.coalesce(F.sum(value).over(later), F.lit(0))).cast("long")
-        for fact, column in sets.items():
-            facts[f"{fact}_{name}"] = F.size(F.array_union(F.collect_set(column).over(before), F.collect_set(column).over(upto))).cast("long")
-    out = placed.withColumns(facts).filter("bucket = own").select("log_id", *facts)
-    return out.withColumns({f"deny_share_{n}": F.round(F.col(f"denied_{n}") / F.col(f"logs_{n}"), 4) for n in widths})
-
-
 def scan_score(ports: Column, targets: Column, deny_share: Column) -> Column:
     """How much like a scan a host's last minutes look, up to 100."""
     return F.least(F.lit(100), F.floor(ports * 4 + targets * 2 + deny_share * 30)).cast("int")

@@ -14,6 +14,7 @@ from ..operators import correlation as C
 from ..operators import features as X
 from ..operators import groups as G
 from ..operators import rules as R
+from ..operators import trailing as TR
 from ..sources.logs import LOGS_SQL
 from .detection import CFG, _facts, _with, logs
 
@@ -189,14 +190,14 @@ def _trailing_sql(name: str, minutes: int) -> str:
 
 @query(f"{L} SELECT * FROM {_trailing_sql('5m', 5)} JOIN {_trailing_sql('15m', 15)} USING (log_id) JOIN {_trailing_sql('1h', 60)} USING (log_id) JOIN {_trailing_sql('24h', 1440)} USING (log_id)")
 def trailing_features(spark, d):
-    return X.trailing(C.prepared(logs(spark, d), CFG))
+    return TR.trailing(C.prepared(logs(spark, d), CFG)).drop("repeats_5m")
 
 
 @query(f"""{L}, t AS (SELECT * FROM {_trailing_sql('24h', 1440)}) SELECT t.log_id, least(100, floor(ports_24h * 4 + targets_24h * 2 + deny_share_24h * 30))::INTEGER AS scan_score, hour(generated_time)::INTEGER AS hour_of_day, (hour(generated_time) < 7 OR hour(generated_time) >= 18)::INTEGER AS after_hours FROM t JOIN logs USING (log_id)""")
 def scan_scores(spark, d):
     rows = C.prepared(logs(spark, d), CFG)
     hour, after = X.calendar("generated_time")
-    found = X.trailing(rows, {"24h": 1440}).join(rows.select("log_id", hour.alias("hour_of_day"), after.alias("after_hours")), "log_id")
+    found = TR.trailing(rows, {"24h": 1440}).join(rows.select("log_id", hour.alias("hour_of_day"), after.alias("after_hours")), "log_id")
     return found.select("log_id", X.scan_score(F.col("ports_24h"), F.col("targets_24h"), F.col("deny_share_24h")).alias("scan_score"), "hour_of_day", "after_hours")
 
 
@@ -235,3 +236,25 @@ ORACLE["leakage_groups"] = f"""{L.replace("WITH ", "WITH RECURSIVE ", 1)}, r AS
 nodes AS (SELECT DISTINCT a, b FROM r), walk(start, a) AS (SELECT DISTINCT a, a FROM nodes UNION SELECT w.start, y.a FROM walk w JOIN nodes x ON w.a = x.a JOIN nodes y ON x.b = y.b),
 low AS (SELECT start, min(log_id) AS g FROM walk w JOIN r ON w.a = r.a GROUP BY 1)
 SELECT log_id, g AS leakage_group, CASE WHEN ('0x' || substr(sha256('split:' || g), 1, 2))::INTEGER % 10 < 7 THEN 'train' ELSE 'test' END AS part FROM r JOIN low ON r.a = low.start"""
+
+
+@query(f"""{L} SELECT a.log_id, count(*) FILTER (b.us >= a.us - 300000000) AS target_logs_5m, count(*) AS target_logs_24h, count(*) FILTER (b.us >= a.us - 300000000 AND b.src_ip = a.src_ip AND b.dst_port = a.dst_port) AS repeats_5m
+FROM logs a JOIN logs b ON b.source_id = a.source_id AND b.dst_ip = a.dst_ip AND b.us BETWEEN a.us - 86400000000 AND a.us AND (b.us < a.us OR b.log_id <= a.log_id) GROUP BY 1""")
+def target_features(spark, d):
+    rows = C.prepared(logs(spark, d), CFG)
+    return TR.target_counts(rows, {"5m": 5, "24h": 1440}).join(TR.trailing(rows, {"5m": 5}).select("log_id", "repeats_5m"), "log_id")
+
+
+@query(f"""{L}, f AS (SELECT *, CASE WHEN app IN ('incomplete', 'unknown', 'unknown-tcp') THEN 'unresolved' ELSE 'encrypted_web' END AS family FROM logs),
+c AS (SELECT a.log_id, count(*) FILTER (b.us >= a.us - 300000000) AS src_events_5m, count(*) AS src_events_15m, count(DISTINCT b.dst_ip) FILTER (b.us >= a.us - 300000000) AS src_unique_destinations_5m, count(DISTINCT b.dst_port) FILTER (b.us >= a.us - 300000000) AS src_unique_ports_5m,
+  count(*) FILTER (b.dst_ip = a.dst_ip AND b.dst_port = a.dst_port AND b.family = a.family) AS same_tuple_events_15m, count(*) FILTER (b.family = a.family) AS same_app_events_15m, round(count(*) FILTER (b.us >= a.us - 300000000 AND b.denied) / count(*) FILTER (b.us >= a.us - 300000000), 6) AS deny_ratio
+  FROM f a JOIN f b ON b.src_ip = a.src_ip AND b.us BETWEEN a.us - 900000000 AND a.us AND (b.us < a.us OR b.log_id <= a.log_id) GROUP BY 1),
+t AS (SELECT a.log_id, count(*) AS destination_events_5m FROM logs a JOIN logs b ON b.dst_ip = a.dst_ip AND b.us BETWEEN a.us - 300000000 AND a.us AND (b.us < a.us OR b.log_id <= a.log_id) GROUP BY 1),
+g AS (SELECT log_id, src_ip, us, (us - lag(us) OVER (PARTITION BY src_ip ORDER BY us, log_id)) / 1e6::DOUBLE AS gap FROM logs),
+j AS (SELECT log_id, round(ln(1 + coalesce(gap, 900)), 6) AS gap_log, round(least(CASE WHEN count(gap) OVER w >= 2 AND avg(gap) OVER w > 0 THEN stddev_pop(gap) OVER w / avg(gap) OVER w ELSE 0 END, 10), 6) AS jitter FROM g WINDOW w AS (PARTITION BY src_ip ORDER BY us, log_id ROWS 7 PRECEDING))
+SELECT c.*, destination_events_5m, gap_log, jitter, round(ln(1 + l.bytes / greatest(l.packets, 1)), 6) AS bytes_per_packet FROM c JOIN t USING (log_id) JOIN j USING (log_id) JOIN logs l USING (log_id)""")
+def context_features(spark, d):
+    x = TR.context_features(C.prepared(logs(spark, d), CFG))
+    fine = {"deny_ratio": "src_deny_ratio_5m", "gap_log": "source_interarrival_log_seconds", "jitter": "source_cadence_jitter", "bytes_per_packet": "bytes_per_packet"}
+    whole = ["src_events_5m", "src_events_15m", "src_unique_destinations_5m", "src_unique_ports_5m", "same_tuple_events_15m", "same_app_events_15m", "destination_events_5m"]
+    return x.select("log_id", *whole, *[F.round(c, 6).alias(n) for n, c in fine.items()])

@@ -10,6 +10,7 @@ from ..operators import correlation as C
 from ..operators import evaluation as E
 from ..operators import features as X
 from ..operators import reports as R
+from ..operators import trailing as TR
 from ..sources.logs import LOGS_SQL, read
 from .detection import CFG, SEVERITY_SQL, _groups, _to_groups, _with, logs
 
@@ -169,9 +170,9 @@ def rolling_features(spark, d):
     return X.rolling(_prepared(spark, d), (5, 1440)).drop("source_id", "src_ip", "us", "dst_port", "dst_ip", "bytes_sent")
 
 
-@query(f"{L} SELECT log_id, count(DISTINCT dst_port) OVER (PARTITION BY source_id, src_ip ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS ports FROM logs")
+@query(f"{L} SELECT a.log_id, count(DISTINCT b.dst_port) AS ports FROM logs a JOIN logs b ON b.source_id = a.source_id AND b.src_ip = a.src_ip AND b.us BETWEEN a.us - 86400000000 AND a.us AND (b.us < a.us OR b.log_id <= a.log_id) GROUP BY 1")
 def trailing_ports(spark, d):
-    return X.distinct_trailing(_prepared(spark, d), 1440)
+    return TR.trailing(_prepared(spark, d), {"24h": 1440}).select("log_id", F.col("ports_24h").alias("ports"))
 
 
 @query(f"""{L}, r AS (SELECT log_id, row_number() OVER (PARTITION BY source_id, src_ip, dst_port ORDER BY us, log_id)::INTEGER - 1 AS port_before, row_number() OVER (PARTITION BY source_id, src_ip, app ORDER BY us, log_id)::INTEGER - 1 AS app_before FROM logs)
