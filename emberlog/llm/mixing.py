@@ -5,11 +5,13 @@ times its words is first taken ``floor(r * w)`` times for certain (``w``: its im
 over the mean, 1 by default).  What is left, ``p = r * w - floor(r * w)``, is its
 inclusion probability in a Pareto order sample: documents are ranked by
 ``(u / (1 - u)) / (p / (1 - p))`` with a random ``u`` made from the key, and those of
-the lowest rank are taken until the source's left words are used up.
+the lowest rank are taken until the next one is longer than the source's left words.
+Then the rows behind it are gone through in order of rank, and every one that still fits
+is taken; at last the shortest row left, if it brings the source nearer to its target.
 
 The ranks of a source are never sorted in one task: a histogram of the ranks finds the
 cell in which the words run out, a second one the part of that cell, and only the rows of
-that part are put in order.
+that part are put in order; rows behind it are taken FILL at a time.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 #: Cells of the histogram of ranks, for each source, and parts of the cell where words run
 #: out; a window has the rows of one part, about a source's rows over the square of this.
 CELLS = 4096
+#: Rows behind the edge that one round goes through; rounds go on until nothing more fits.
+FILL = 500
 
 
 def word_count(text: Column) -> Column:
@@ -106,6 +110,43 @@ def _edge(scratch: Scratch, rows: DataFrame, cell: str, name: str) -> DataFrame:
     return scratch.save(placed.groupBy("source").agg(F.max(F.when(at, F.col(cell))).alias("edge"), F.max(F.when(at, F.col("before"))).alias("edge_before")), name)
 
 
+def _filled(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``extra`` 1 for those behind the edge that still fit, in order of rank.
+
+    A round looks at the first FILL rows of each source that are no longer than what is
+    missing; what it leaves is shorter than all of these, so rounds soon end.
+    """
+    rows = scratch.save(rows.withColumn("_id", F.monotonically_increasing_id()), "edge-taken")
+    loose = F.coalesce(F.sum(F.when(F.col("rank").isNotNull(), F.col("extra") * F.col("size"))), F.lit(0))
+    missing = scratch.save(rows.groupBy("source").agg((F.first("left") - loose).alias("missing")), "missing-0")
+    order = ["rank", "doc_key", "size", "_id"]
+    spare = rows.filter("rank is not null and extra = 0").select("source", *order)
+    picked, k = None, 0
+
+    def fitting(now: DataFrame) -> DataFrame:
+        free = spare if picked is None else spare.join(picked.select("_id"), "_id", "left_anti")
+        return free.alias("r").join(now.alias("m"), F.col("r.source").eqNullSafe(F.col("m.source"))).select("r.*", "m.missing")
+
+    while True:
+        near = fitting(missing).filter("size <= missing").withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy(*order))).filter(F.col("_n") <= FILL)
+        lists = near.groupBy("source", "missing").agg(F.array_sort(F.collect_list(F.struct("_n", "size", "_id"))).alias("rows"))
+        start = F.struct(F.col("missing").alias("missing"), F.array().cast("array<bigint>").alias("ids"))
+        step = lambda s, r: F.when(r["size"] <= s["missing"], F.struct((s["missing"] - r["size"]).alias("missing"), F.array_append(s["ids"], r["_id"]).alias("ids"))).otherwise(s)
+        done = scratch.save(lists.select("source", F.aggregate("rows", start, step).alias("a")).select("source", "a.*"), f"filled-{k}")
+        k += 1
+        if not done.limit(1).count():
+            break
+        new = done.select(F.explode("ids").alias("_id"))
+        picked = scratch.save(new if picked is None else picked.unionByName(new), f"picked-{k}")
+        missing = scratch.save(missing.alias("m").join(done.alias("d"), F.col("m.source").eqNullSafe(F.col("d.source")), "left").select("m.source", F.coalesce("d.missing", "m.missing").alias("missing")), f"missing-{k}")
+    # nothing fits any more: the shortest row left is taken if that comes nearer to the target
+    first = F.struct("size", "rank", "doc_key", "_id")
+    nearest = fitting(missing).filter("missing > 0").groupBy("source", "missing").agg(F.min(first).alias("f")).filter("f.size - missing < missing").select("f._id")
+    extra = nearest if picked is None else nearest.unionByName(picked)
+    extra = scratch.save(extra.withColumn("_more", F.lit(1)), "extra")
+    return rows.join(extra, "_id", "left").withColumn("extra", F.col("extra") + F.coalesce("_more", F.lit(0)))
+
+
 def mix(
     spark: SparkSession,
     docs: DataFrame,
@@ -170,11 +211,10 @@ def mix(
     plain = known.filter(~on_edge).withColumn("extra", loose.cast("long"))
     last = known.filter(on_edge)
     run = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_key", "size").rowsBetween(Window.unboundedPreceding, 0)) + F.col("edge_before") + F.col("part_before")
-    # the row on which the words run out is taken if that comes nearer to the target
-    nearer = (run <= F.col("left")) | ((run - F.col("size") < F.col("left")) & (run - F.col("left") <= F.col("left") - run + F.col("size")))
-    last = last.withColumn("extra", nearer.cast("long"))
+    last = last.withColumn("extra", (run <= F.col("left")).cast("long"))
+    rows = _filled(scratch, plain.unionByName(last))
     copies = F.col("sure") + F.col("extra")
-    return plain.unionByName(last).select(
+    return rows.select(
         F.col("doc_key").alias(key),
         "size",
         "source_size",

@@ -127,7 +127,7 @@ FROM cut LEFT JOIN done c ON c.pair_id = cut.pair_id AND c.side = 0 LEFT JOIN do
 """
 
 MIXING_SQL = r"""
-WITH d AS (SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM s),
 l AS (
@@ -144,11 +144,17 @@ r AS (
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 k AS (SELECT *, floor(rate)::BIGINT AS sure, rate - floor(rate)::BIGINT AS p FROM r),
 q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank, target - sum(sure * size) OVER (PARTITION BY source) AS left_words FROM k),
-x AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM q)
-SELECT doc_id, size, source_size, target,
-  ((sure + CASE WHEN rank IS NULL OR left_words <= 0 THEN 0
-     WHEN run <= left_words OR (run - size < left_words AND run - left_words <= left_words - run + size) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-FROM x
+x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, size) AS pos, sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM q),
+y AS (SELECT *, rank IS NOT NULL AND left_words > 0 AND run <= left_words AS early FROM x),
+f AS (
+  SELECT source, 0::BIGINT AS pos, min(left_words) - coalesce(sum(size) FILTER (early), 0) AS missing FROM y GROUP BY source
+  UNION ALL
+  SELECT f.source, min(y.pos), f.missing - arg_min(y.size, y.pos) FROM f JOIN y ON y.source IS NOT DISTINCT FROM f.source AND y.rank IS NOT NULL AND NOT y.early AND y.pos > f.pos AND y.size <= f.missing GROUP BY f.source, f.pos, f.missing),
+e AS (SELECT source, min(missing) AS missing FROM f GROUP BY source),
+z AS (SELECT y.*, early OR f.pos IS NOT NULL AS got FROM y LEFT JOIN f ON f.pos > 0 AND y.source IS NOT DISTINCT FROM f.source AND y.pos = f.pos),
+n AS (SELECT z.source, min({'size': size, 'rank': rank, 'doc_id': doc_id, 'pos': pos}) AS s FROM z JOIN e ON e.source IS NOT DISTINCT FROM z.source WHERE rank IS NOT NULL AND NOT got AND missing > 0 GROUP BY z.source, missing HAVING min(size) - missing < missing)
+SELECT doc_id, size, source_size, target, ((sure + CASE WHEN got OR n.s IS NOT NULL THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM z LEFT JOIN n ON n.source IS NOT DISTINCT FROM z.source AND n.s.pos = z.pos
 """
 
 DIVERGENCE_SQL = r"""

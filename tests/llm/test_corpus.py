@@ -425,6 +425,22 @@ def test_neighbours_of_several_lengths(spark):
     assert got == [(0, 1, 1), (50, 1, 3)]
 
 
+def test_mixing_goes_on_behind_a_row_that_does_not_fit(spark):
+    """Few rows, some much longer than others: every source still comes within its shortest untaken row of its target."""
+    rng = random.Random(12)
+    texts = [" ".join(["w"] * rng.choice([1, 3, 9, 40, 2500])) for _ in range(90)] + [None, "", " "]
+    docs = documents(spark, texts)
+    got = mixing.mix(spark, docs).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[f"s{r.doc_id % 3}"].append(r)
+    for rows in by.values():
+        taken, target = sum(r.taken for r in rows), rows[0].target
+        loose = [r.size for r in rows if r.size and r.copies <= target / r.source_size and r.copies < 3]
+        assert abs(taken - target) <= max(1, min(loose, default=target) / 2), (taken, target)
+    assert {(r.doc_id, r.taken) for r in mixing.mix(spark, docs.repartition(7)).collect()} == {(r.doc_id, r.taken) for r in got}
+
+
 def test_mixing_by_importance(spark):
     rows = [(i, "w " * 10, "en", "a", 0, 1.0 + 20.0 * (i % 10 == 0)) for i in range(2000)] + [(5000 + i, "w " * 10, "en", "b", 0, None) for i in range(1000)]
     docs = spark.createDataFrame(rows, DOCS + ", odds double")
