@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles, running
+
 
 def confusion(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
     return rows.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
@@ -48,9 +48,10 @@ def jensen_shannon(rows: DataFrame, value: str, side: str, a, b) -> DataFrame:
 
 def bounds(rows: DataFrame, value: str, factor: float = 3.0) -> DataFrame:
     """The range outside of which a value is unlike the rows: quartiles and their distance."""
-    q = rows.agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"), F.percentile(value, F.lit(0.01)).alias("p01"), F.percentile(value, F.lit(0.99)).alias("p99"))
-    span = (F.col("q3") - F.col("q1")) * factor
-    return q.select("q1", "q3", F.least(F.col("q1") - span, F.col("p01")).alias("low"), F.greatest(F.col("q3") + span, F.col("p99")).alias("high"))
+    q1, q3, p01, p99 = quantiles(rows, value, [0.25, 0.75, 0.01, 0.99])
+    span = None if q1 is None else (q3 - q1) * factor
+    low, high = (None, None) if q1 is None else (min(q1 - span, p01), max(q3 + span, p99))
+    return rows.sparkSession.createDataFrame([(q1, q3, low, high)], "q1 double, q3 double, low double, high double")
 
 
 def hysteresis(rows: DataFrame, key: list[str], order: list[str], level: str, up: int, down: int) -> DataFrame:
@@ -63,20 +64,10 @@ def hysteresis(rows: DataFrame, key: list[str], order: list[str], level: str, up
 def ordered_cut(rows: DataFrame, order: list[str], parts: int) -> DataFrame:
     """Rows in order cut into ``parts`` of equal size, by exact rank, without one sorting task.
 
-    A coarse range of the first order column gives each row's slice; slice totals are few
-    and summed in order, and only slices are ranked.  Nulls of that column come last, as a
-    slice of their own.
+    ``order`` tells all rows apart; nulls come last.
     """
-    slices = 512
-    low, high = rows.agg(F.min(order[0]), F.max(order[0])).first()
-    if low is None:
-        low = high = 0
-    width = max(1, math.ceil((high - low + 1) / slices))
-    sliced = rows.withColumn("_s", F.coalesce(F.floor((F.col(order[0]) - low) / width), F.lit(slices)))
-    sums = sliced.groupBy("_s").agg(F.count("*").alias("_n"))
-    ahead = sums.select("_s", (F.sum("_n").over(Window.orderBy("_s")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    rank = F.row_number().over(Window.partitionBy("_s").orderBy(*order)) - 1 + F.col("_before")
-    return sliced.join(ahead, "_s").withColumn("part", F.floor(rank * parts / F.col("_all")).cast("int")).drop("_s", "_before", "_all")
+    placed, totals = running(rows, [F.col(c).asc_nulls_last() for c in order])
+    return placed.withColumn("part", F.floor(F.col("row") * parts / max(totals["row"], 1)).cast("int")).drop("row")
 
 
 def label_conflicts(rows: DataFrame, group: list[str], label: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from .ranks import quantiles, running
 
 
 def leakage_groups(spark: SparkSession, rows: DataFrame, key: str, prints: list[str], folder: str) -> DataFrame:
@@ -67,15 +70,18 @@ def stratified(rows: DataFrame, stratum: Column, key: str, salt: str, n: dict[st
 def cohort_percentile(rows: DataFrame, cohort: str, score: str, least: int = 50) -> DataFrame:
     """``percentile``: the share of the cohort's scores not above a row's, or of all scores if the cohort is small.
 
-    Distinct scores are put in order by one task, so scores should be rounded.
+    Equal scores of a cohort are counted first; the counts are summed in order over ranges,
+    so neither a large cohort nor many scores are one task.  Null cohorts and scores are values.
     """
-    own = F.cume_dist().over(Window.partitionBy(cohort).orderBy(score))
-    many = F.count("*").over(Window.partitionBy(cohort))
-    by_score = rows.groupBy(score).agg(F.count("*").alias("_n"))
-    total = by_score.agg(F.sum("_n").alias("_all"))
-    running = by_score.select(score, F.sum("_n").over(Window.orderBy(score)).alias("_upto"))  # one row a distinct score
-    ranked = running.join(F.broadcast(total), how="cross").select(score, (F.col("_upto") / F.col("_all")).alias("_whole"))  # one row of totals
-    return rows.withColumns({"_own": own, "_many": many}).join(ranked, score, "left").withColumn("percentile", F.when(F.col("_many") >= least, F.col("_own")).otherwise(F.col("_whole"))).drop("_own", "_many", "_whole")
+    pairs = rows.groupBy(cohort, score).agg(F.count("*").alias("_n"))
+    own, _ = running(pairs, [F.col(cohort), F.col(score)], {"_upto": "_n"})
+    sizes = own.groupBy(cohort).agg(F.sum("_n").alias("_many"), F.min(F.col("_upto") - F.col("_n")).alias("_start"))
+    whole, totals = running(pairs.groupBy(score).agg(F.sum("_n").alias("_n")), [F.col(score)], {"_upto": "_n"})
+    same = lambda a, b, *names: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names])
+    table = own.alias("o").join(sizes.alias("s"), same("o", "s", cohort)).join(whole.alias("w"), same("o", "w", score))
+    share = F.when(F.col("_many") >= least, (F.col("o._upto") - F.col("_start")) / F.col("_many")).otherwise(F.col("w._upto") / F.lit(max(totals["_upto"], 1)))
+    table = table.select(F.col(f"o.{cohort}"), F.col(f"o.{score}"), share.alias("percentile"))
+    return rows.alias("r").join(table.alias("t"), same("r", "t", cohort, score)).select("r.*", "t.percentile")
 
 
 def window_class(rows: DataFrame, key: list[str], label: str, attacks: list[str], left_out: list[str]) -> DataFrame:
@@ -87,6 +93,7 @@ def window_class(rows: DataFrame, key: list[str], label: str, attacks: list[str]
 
 
 def numeric_summary(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """A row a column: missing, smallest, largest, mean and median."""
-    parts = [F.struct(F.lit(c).alias("feature"), F.count_if(F.col(c).isNull()).alias("missing"), F.min(F.col(c).cast("double")).alias("low"), F.max(F.col(c).cast("double")).alias("high"), F.avg(c).alias("mean"), F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias("median")) for c in columns]
+    """A row a column: missing, smallest, largest, mean and exact median."""
+    middle = {c: quantiles(rows, c, [0.5])[0] for c in columns}
+    parts = [F.struct(F.lit(c).alias("feature"), F.count_if(F.col(c).isNull()).alias("missing"), F.min(F.col(c).cast("double")).alias("low"), F.max(F.col(c).cast("double")).alias("high"), F.avg(c).alias("mean"), F.lit(middle[c]).cast("double").alias("median")) for c in columns]
     return rows.agg(F.array(*parts).alias("a")).select(F.inline("a"))

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import addresses as AD
+from ..functions import predicates as P
 from ..operators import correlation as C
 from ..operators import exposure as EX
 from ..operators import merge as M
 from ..operators import reports as R
 from ..operators import rules as U
+from ..operators import selection as S
 from ..sources.logs import LOGS_SQL
 from .detection import CFG, _facts, _groups, _to_groups, _with, logs
 
@@ -122,3 +124,27 @@ def watchlist_blocks(spark, d):
     watch = [("src_ip", "45.33.0.0/24", 10), ("src_ip", "45.33.0.5", 35), ("dst_ip", "142.250.0.0/24", 5), ("dst_ip", "142.250.0.3", 20), ("app", "UNKNOWN-TCP ", 10), ("src_ip", "not/a block", 99)]
     found = R.indicator_hits(logs(spark, d), spark.createDataFrame(watch, "indicator_type string, value string, boost int"), ["src_ip", "dst_ip", "app"])
     return found.select("log_id", "boost", F.size(F.split("seen", ",")).cast("long").alias("hits"))
+
+
+@query(None)
+def diverse_sample(spark, d):
+    """The three hundred logs of most points, mixed by source, application and port."""
+    x = logs(spark, d).select("log_id", "source_id", "app", "dst_port", P.sampling_score().alias("points"))
+    return S.diverse(x, ["points", "log_id"], "log_id", ["source_id", "app", "dst_port"], 300)
+
+
+@query(None)
+def rolling_windows(spark, d):
+    """Hosts of a target as leakage groups, cut into three windows of time."""
+    x = C.prepared(logs(spark, d), CFG).select("log_id", F.concat_ws(">", "src_ip", "dst_ip", F.floor(F.col("us") / 86_400_000_000).cast("string")).alias("component"), "us")
+    return S.rolling_windows(x, "component", "us", 3, 60_000_000)
+
+
+@query(None)
+def blind_intervals(spark, d):
+    """Rates of alerted logs over labelled ones, with intervals, scaled to all logs of each stratum."""
+    x = logs(spark, d)
+    stratum = F.when(F.col("log_id") % 4 == 0, "alerted").when(P.is_notable(), "notable").otherwise("other")
+    population = x.groupBy(stratum.alias("stratum")).agg(F.count("*").alias("population"))
+    labelled = x.filter("log_id % 3 = 0").select(F.col("log_id").alias("key"), stratum.alias("stratum"), (F.col("app_risk") >= 4).alias("threat"), (F.col("log_id") % 4 == 0).alias("flagged"))
+    return S.bootstrap(labelled, population)
