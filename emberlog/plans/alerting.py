@@ -12,7 +12,9 @@ from ..operators import exposure as EX
 from ..operators import merge as M
 from ..operators import reports as R
 from ..operators import rules as U
+from ..operators import scanners as SC
 from ..operators import selection as S
+from ..operators.ranks import checkpointed
 from ..sources.logs import LOGS_SQL
 from .detection import CFG, _facts, _groups, _to_groups, _with, logs
 
@@ -36,8 +38,13 @@ def query(sql: str | None):
     return put
 
 
+def _found(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates, written once: what follows reads them several times."""
+    return checkpointed(U.candidates(U.evaluate(logs(spark, d), CFG), CFG))
+
+
 def observed_groups(spark: SparkSession, d: str) -> DataFrame:
-    found = U.candidates(U.evaluate(logs(spark, d), CFG), CFG)
+    found = _found(spark, d)
     return M.observed(found, U.groups(found, CFG), CFG)
 
 
@@ -148,3 +155,34 @@ def blind_intervals(spark, d):
     population = x.groupBy(stratum.alias("stratum")).agg(F.count("*").alias("population"))
     labelled = x.filter("log_id % 3 = 0").select(F.col("log_id").alias("key"), stratum.alias("stratum"), (F.col("app_risk") >= 4).alias("threat"), (F.col("log_id") % 4 == 0).alias("flagged"))
     return S.bootstrap(labelled, population)
+
+
+_gid = "concat_ws('|', source_id, primary_code, group_src, group_dst, coalesce(group_port::VARCHAR, '-'), coalesce(group_app, '-'), bucket, path)"
+_scan = "primary_code IN ('possible_horizontal_scan', 'possible_port_scan', 'unusual_destination_port')"
+ROUTED_SQL = f"""{_with(*_to_groups)}, km AS (SELECT keyed.*, malice, {_gid} AS gid FROM keyed JOIN why USING (log_id) WHERE {_scan} OR source_id = 1), ad AS (SELECT {_gid} AS gid FROM admitted),
+gf AS (SELECT gid, primary_code, bool_or(malice) AS strong, bool_and(inbound) AS outside FROM km WHERE gid IN (SELECT gid FROM ad) GROUP BY ALL),
+dm AS (SELECT src_ip FROM km JOIN gf USING (gid) WHERE NOT gf.{_scan} OR strong UNION SELECT '45.33.0.10'),
+rt AS (SELECT gid FROM gf WHERE {_scan} AND NOT strong AND outside AND gid NOT IN (SELECT gid FROM km WHERE src_ip IN (SELECT src_ip FROM dm))),
+rl AS (SELECT *, us - us % 3600000000 AS hour_us FROM km WHERE gid IN (SELECT gid FROM rt))"""
+
+
+def _routed(spark: SparkSession, d: str) -> DataFrame:
+    # hosts of the test events do everything: those of two log sources are left with their scans
+    found = _found(spark, d).filter(F.col("primary").isin(SC.SCANNING) | (F.col("source_id") == 1))
+    known = spark.createDataFrame([("45.33.0.10", "brute_force_like_attempts", "open"), ("45.33.0.15", "possible_port_scan", "open"), ("45.33.0.20", "brute_force_like_attempts", "resolved")], "src_ip string, alert_type string, status string")
+    return SC.routed(found, U.groups(found, CFG), known, cfg=CFG)
+
+
+@query(f"{ROUTED_SQL} SELECT log_id, primary_code FROM rl")
+def scan_routing(spark, d):
+    return _routed(spark, d).select("log_id", F.col("primary").alias("primary_code"))
+
+
+@query(f"""{ROUTED_SQL}, pf AS (SELECT hour_us, src_ip, dst_port, row_number() OVER (PARTITION BY hour_us, src_ip ORDER BY min(us), min(log_id)) AS r FROM rl GROUP BY hour_us, src_ip, dst_port),
+pl AS (SELECT hour_us, src_ip, string_agg(dst_port, ',' ORDER BY r) AS ports FROM pf WHERE r <= 8 GROUP BY ALL)
+SELECT hour_us, src_ip AS address, count(*) AS connections, count(DISTINCT dst_ip) AS targets, count(*) FILTER (packets_received > 1 OR packets_received = 1 AND session_end_reason <> 'tcp-rst-from-server') AS answered, any_value(pl.ports) AS ports,
+  least(count(*), count(*) FILTER (source_id <> 0) + 20) AS kept FROM rl JOIN pl USING (hour_us, src_ip) GROUP BY ALL""")
+def hourly_scanning(spark, d):
+    """The hours' lists; logs of source 0 are live."""
+    found, _ = SC.hourly(_routed(spark, d), live=F.col("source_id") == 0)
+    return found.select("hour_us", "address", "connections", "targets", "answered", F.array_join(F.transform("ports", lambda p: p.cast("string")), ",").alias("ports"), "kept")
