@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import addresses as AD
 from ..functions import predicates as P
 from ..operators import correlation as C
+from ..operators import duplicates as DU
 from ..operators import exposure as EX
 from ..operators import merge as M
 from ..operators import reports as R
@@ -186,3 +187,48 @@ def hourly_scanning(spark, d):
     """The hours' lists; logs of source 0 are live."""
     found, _ = SC.hourly(_routed(spark, d), live=F.col("source_id") == 0)
     return found.select("hour_us", "address", "connections", "targets", "answered", F.array_join(F.transform("ports", lambda p: p.cast("string")), ",").alias("ports"), "kept")
+
+
+_stored = """raws AS (SELECT log_id AS raw_id, CASE WHEN log_id % 31 <> 0 THEN src_ip || dst_port || app_risk END AS line_hash, us + log_id % 7 AS imported_us FROM logs),
+plogs AS (SELECT raw_id + 1000000 AS log_id, raw_id FROM raws WHERE raw_id % 5 <> 0), labels2 AS (SELECT log_id AS label_id, log_id + 1000000 AS log_id, us + 3 AS created_us FROM logs WHERE log_id % 5 <> 0 AND log_id % 3 = 0),
+evid AS (SELECT log_id % 50 AS alert_id, log_id + 1000000 AS log_id FROM logs WHERE log_id % 5 <> 0 AND log_id % 2 = 0),
+rw AS (SELECT raws.*, plogs.log_id FROM raws LEFT JOIN plogs USING (raw_id) WHERE line_hash IS NOT NULL),
+fs AS (SELECT line_hash, arg_min(raw_id, (log_id IS NULL)::INTEGER * 10000000 + raw_id) AS kept_raw, min(log_id) AS kept_log FROM rw GROUP BY 1 HAVING count(*) > 1),
+gone AS (SELECT raw_id, kept_raw, log_id, kept_log FROM rw JOIN fs USING (line_hash) WHERE raw_id <> kept_raw), lmap AS (SELECT log_id, kept_log FROM gone WHERE log_id IS NOT NULL),
+lm AS (SELECT label_id, created_us, kept_log, coalesce(kept_log, log_id) AS log_id FROM labels2 LEFT JOIN lmap USING (log_id)),
+moves AS (SELECT label_id, log_id, CASE WHEN kept_log IS NULL THEN 'stays' WHEN label_id = max(label_id) OVER (PARTITION BY log_id) THEN 'moves' ELSE 'archived' END AS state FROM lm)"""
+
+
+def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Raw lines with copies, four in five of them parsed, with labels and evidence on their logs."""
+    x = C.prepared(logs(spark, d), CFG)
+    i = F.col("log_id")
+    raws = x.select(i.alias("raw_id"), F.when(i % 31 != 0, F.concat("src_ip", F.col("dst_port").cast("string"), F.col("app_risk").cast("string"))).alias("line_hash"), (F.col("us") + i % 7).alias("imported_us"))
+    parsed = x.filter(i % 5 != 0)
+    return raws, parsed.select((i + 1_000_000).alias("log_id"), i.alias("raw_id")), parsed.filter(i % 3 == 0).select(i.alias("label_id"), (i + 1_000_000).alias("log_id"), (F.col("us") + 3).alias("created_us")), parsed.filter(i % 2 == 0).select((i % 50).alias("alert_id"), (i + 1_000_000).alias("log_id"))
+
+
+@query(f"{L}, {_stored} SELECT * FROM moves")
+def duplicate_labels(spark, d):
+    raws, parsed, labels, _ = _lines(spark, d)
+    return DU.label_moves(labels.drop("created_us"), DU.copies(raws, parsed)[1])
+
+
+@query(f"{L}, {_stored} SELECT DISTINCT alert_id, coalesce(kept_log, log_id) AS log_id FROM evid LEFT JOIN lmap USING (log_id)")
+def duplicate_evidence(spark, d):
+    raws, parsed, _, evidence = _lines(spark, d)
+    return DU.repointed(evidence, DU.copies(raws, parsed)[1])
+
+
+@query(f"""{L}, {_stored}, ce AS (SELECT evid.* FROM evid JOIN lmap USING (log_id)) SELECT 'stored_lines' AS measure, count(*) AS value FROM raws UNION ALL SELECT 'lines_stored_more_than_once', count(DISTINCT kept_raw) FROM gone UNION ALL SELECT 'copies_to_remove', count(*) FROM gone
+UNION ALL SELECT 'logs_to_remove', count(*) FROM lmap UNION ALL SELECT 'labels_to_move', count(*) FILTER (state = 'moves') FROM moves UNION ALL SELECT 'labels_to_archive', count(*) FILTER (state = 'archived') FROM moves
+UNION ALL SELECT 'evidence_rows_on_copies', count(*) FROM ce UNION ALL SELECT 'alerts_citing_a_copy', count(DISTINCT alert_id) FROM ce""")
+def duplicate_plan(spark, d):
+    raws, parsed, labels, evidence = _lines(spark, d)
+    return DU.plan(raws, *DU.copies(raws, parsed), labels, evidence)
+
+
+@query(f"{L}, {_stored} SELECT label_id, labels2.log_id, created_us, imported_us FROM labels2 JOIN plogs USING (log_id) JOIN raws USING (raw_id) WHERE created_us < imported_us")
+def misattached_labels(spark, d):
+    raws, parsed, labels, _ = _lines(spark, d)
+    return DU.misattached(labels, parsed, raws)
