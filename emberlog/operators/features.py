@@ -119,8 +119,7 @@ def window_shares(logs: DataFrame, minutes: int = 5) -> DataFrame:
         F.count_if(F.upper(F.coalesce("log_type", F.lit(""))) == "THREAT").alias("threat_logs"),
         F.countDistinct("app").alias("n_apps"),
         share(P.is_file_sharing()).alias("p2p_share"),
-        F.first(P.is_private("src_ip").cast("double")).alias("src_is_private"),
-    )
+    ).withColumn("src_is_private", P.is_private("src_ip").cast("double"))
 
 
 def top_parts(logs: DataFrame, minutes: int = 5) -> DataFrame:
