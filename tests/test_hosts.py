@@ -20,7 +20,7 @@ def many(tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["address_blocks", "addresses", "window_shares", "parsed_lines", "parser_quality"])
+@pytest.mark.parametrize("name", ["address_blocks", "addresses", "window_shares", "parsed_lines", "parser_quality", "imported_lines"])
 def test_query_equals_sql_beyond_two_bytes(spark, many, name):
     con = duckdb.connect()
     con.execute("SET timezone = 'UTC'")
