@@ -75,7 +75,7 @@ def _application(kind: Column) -> tuple[Column, Column]:
     return found, how
 
 
-def parse(lines: DataFrame, raw: str = "raw_line", profile: str = "firewall") -> DataFrame:
+def parse(lines: DataFrame, raw: str = "raw_line", profile: str = "firewall", only: list[str] | None = None) -> DataFrame:
     """Lines (a column ``raw``, others kept) as log columns with a parse status.
 
     A line is a time, a host and a payload of comma-separated values.  Status is
@@ -86,6 +86,7 @@ def parse(lines: DataFrame, raw: str = "raw_line", profile: str = "firewall") ->
     ``layout`` tells whether the number of fields is known, ``app_source`` where the
     application's fields were found and ``app_state`` whether it is identified.  With the
     profile ``syslog`` the payload stays a message, with ``raw`` the line is evidence only.
+    ``only`` names the columns to make of a firewall's lines; work for others is left out.
     """
     parts = r"^\s*(\S+)\s+(\S+)\s+(.*?)\s*$"
     rows = lines.filter(F.coalesce(F.trim(raw), F.lit("")) != "")
@@ -125,7 +126,7 @@ def parse(lines: DataFrame, raw: str = "raw_line", profile: str = "firewall") ->
     status = F.when(F.col("_f").isNull(), "error").when(least.isNull(), "unsupported").when((n < least) | (F.size("missing_fields") > 0), "partial").otherwise("parsed")
     rows = rows.withColumn("parse_status", status).drop("_f", "_anchor", "_app")
     # a generator keeps filters on the results from being worked out again below, field by field
-    made = [c for c in rows.columns if c not in lines.columns]
+    made = [c for c in rows.columns if c not in lines.columns and (only is None or c in only)]
     return rows.select(*lines.columns, F.inline(F.array(F.struct(*made))))
 
 
@@ -162,8 +163,18 @@ def new_lines(parsed: DataFrame, stored: DataFrame | None = None, order: str | N
     return first.unionByName(other)
 
 
-def import_counts(parsed: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row: lines read, kept, repeats left out, and lines that could not be parsed."""
+def import_counts(parsed: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """One row: lines read, kept, repeats left out, and lines that could not be parsed.
+
+    Without ``kept`` those count that ``new_lines`` keeps of the batch alone, in one pass:
+    lines are counted by hash where they are parsed, and only counts by hash move.
+    """
+    if kept is None:
+        line = F.when(F.col("parse_status") == "parsed", F.unhex("raw_line_hash"))
+        by = parsed.groupBy(line.alias("line"), "parse_status").agg(F.count("*").alias("n"))
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        found = by.agg(total(F.col("n")).alias("read"), total(F.when(F.col("line").isNotNull(), 1).otherwise(F.col("n"))).alias("kept"), total(F.when(F.col("parse_status") == "error", F.col("n"))).alias("failed"))
+        return found.select("read", "kept", (F.col("read") - F.col("kept")).alias("repeats"), "failed")
     both = parsed.select("parse_status", F.lit(0).alias("k")).union(kept.select("parse_status", F.lit(1).alias("k")))
     found = both.agg(F.count_if(F.col("k") == 0).alias("read"), F.count_if(F.col("k") == 1).alias("kept"), F.count_if((F.col("k") == 0) & (F.col("parse_status") == "error")).alias("failed"))
     return found.select("read", "kept", (F.col("read") - F.col("kept")).alias("repeats"), "failed")

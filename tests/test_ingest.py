@@ -82,3 +82,19 @@ def test_feeds(spark, tmp_path):
     got = [(r.kind, r.label, r.error) for r in feeds.read_benchmark(spark, str(tmp_path / "b.csv"), {"Kind": "kind", "Label": "label"}, {"benign": "benign"}).collect()]
     assert got == [("a", "benign", None), ("b", None, "unknown label: odd")]
     assert feeds.read_lines(spark, str(tmp_path / "a.txt")).count() == 5
+
+
+def test_import_counts_in_one_pass(spark, tmp_path):
+    lines = [line(), line(), line(_14="dns"), "bad line", "bad line", "  ", line(n=40), line(n=40), None]
+    whole = A.parse(spark.createDataFrame([(x,) for x in lines], "raw_line string"))
+    slim = A.parse(spark.createDataFrame([(x,) for x in lines], "raw_line string"), only=["raw_line_hash", "parse_status"])
+    assert slim.columns == ["raw_line", "raw_line_hash", "parse_status"]
+    assert [tuple(A.import_counts(x).first()) for x in (whole, slim)] == [(7, 6, 1, 2)] * 2 == [tuple(A.import_counts(whole, A.new_lines(whole)).first())] * 2
+    assert tuple(A.import_counts(slim.filter("false")).first()) == (0, 0, 0, 0)
+
+
+def test_imported_lines_reads_events_once(spark):
+    from emberlog.plans import ingest
+
+    plan = ingest.imported_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
